@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, quality, topk
+from . import bpe, chat, ngramjoin, packing, quality, topk
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
     "op3_topk": op3_topk,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_quality": op8_quality,
     "op10_packing": op10_packing,
 }
