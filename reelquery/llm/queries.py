@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, ngramjoin, packing, quality, topk
+from . import bpe, chat, ngramjoin, packing, pii, quality, topk
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
     "op3_topk": op3_topk,
+    "op4_pii": op4_pii,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_quality": op8_quality,
     "op10_packing": op10_packing,
