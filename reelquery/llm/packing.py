@@ -18,15 +18,17 @@ task's partition number.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import ChunkTable, default_vocabulary
+from .bpe import TABLE_ENTRIES, default_vocabulary
 from .common import docs_bytes
 
 TIERS = (256, 512, 1024, 2048)
@@ -43,26 +45,57 @@ PACKED = (
 
 
 class LibraryIds:
-    """Ids of whole texts by the tokenizers library, chunk by chunk (see `bpe`), misses in one call."""
+    """Ids of whole texts by the tokenizers library, chunk by chunk (see `bpe`).
 
-    def __init__(self, path: str) -> None:
-        import os
+    The chunks that a text adds to the table are encoded in one call, with a
+    control character between them whose own id tells them apart.
+    """
+
+    BETWEEN = b"\x01"
 
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
         self._t.no_truncation()
         self._t.no_padding()
-        self._chunks = ChunkTable(self._one)
-
-    def _one(self, chunk: str) -> bytes:
-        import numpy as np
-
-        return np.array(self._t.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self._chunks: dict[bytes, bytes] = {}
+        between = self._ids(self.BETWEEN.decode())
+        if len(between) != 1:
+            raise ValueError("the vocabulary has no id of its own for a control character")
+        self._between = between[0]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _add(self, chunks: set[bytes]) -> list[bytes]:
+        """Encode chunks into the table; returns those that should not stay there."""
+        odd = [c for c in chunks if len(c) > 64 or self.BETWEEN in c]
+        short = list(chunks.difference(odd))
+        if len(self._chunks) + len(chunks) > TABLE_ENTRIES:
+            self._chunks.clear()
+        for chunk in odd:
+            self._chunks[chunk] = self._ids(chunk.decode("utf-8", "replace")).tobytes()
+        if short:
+            ids = self._ids(b" \x01 ".join(short).decode("utf-8", "replace"))
+            raw, start = ids.tobytes(), 0
+            for chunk, end in zip(short, [*np.flatnonzero(ids == self._between).tolist(), len(ids)], strict=True):
+                self._chunks[chunk] = raw[4 * start : 4 * end]
+                start = end + 1
+        return odd
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self._chunks.__getitem__, text.split()))
+        chunks = text.split()
+        odd: list[bytes] = []
+        if new := set(chunks).difference(self._chunks):
+            odd = self._add(new)
+            if len(self._chunks) == len(new):  # the table was cleared
+                odd += self._add(set(chunks).difference(self._chunks))
+        out = b"".join(map(self._chunks.__getitem__, chunks))
+        for chunk in odd:
+            self._chunks.pop(chunk, None)
+        return out
 
 
 _libraries: dict[str, LibraryIds] = {}
