@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, ngramjoin, packing, pii, quality, topk
+from . import bpe, chat, linededup, ngramjoin, packing, pii, quality, topk
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.repeated_lines(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_quality": op8_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
