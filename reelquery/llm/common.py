@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bit_filter(keys: DataFrame, key: str, n_bits: int) -> np.ndarray:
+    """Bytes of n_bits bits, set at pmod(key, n_bits) of each row: its size is fixed, whatever the number of rows."""
+    x = keys.select((F.pmod(F.col(key), F.lit(n_bits)) + 1).alias("x"))
+    parts = (
+        x.groupBy(F.expr("bitmap_bucket_number(x)").alias("bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
+        .collect()
+    )
+    bits = np.zeros(n_bits // 8, np.uint8)
+    for r in parts:
+        piece = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[(r["bucket"] - 1) * len(piece) : r["bucket"] * len(piece)] = piece
+    return bits
+
+
 def docs_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key long, text binary): null text becomes empty; only two columns are read."""
     return docs.select(

@@ -19,10 +19,11 @@ goes when any earlier line is within the bound.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, materialise
+from .common import P, bit_filter, materialise
 from .pii import let
 
 EDIT_WORDS = 8
@@ -135,23 +136,9 @@ def _near(docs: DataFrame, distinct: DataFrame, order: Order) -> DataFrame:
     shared = halves.groupBy("key").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).where("lo <> hi")
     partners = materialise(halves.join(shared.select("key"), "key", "left_semi").select("pos").distinct(), "partners")
     slot = lambda: F.pmod(F.xxhash64(order.pack()), F.lit(FILTER_SLOTS))
-    marks = (
-        partners.select((F.pmod(F.xxhash64("pos"), F.lit(FILTER_SLOTS)) + 1).alias("x"))
-        .groupBy(F.expr("bitmap_bucket_number(x)").alias("bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
-        .collect()  # FILTER_SLOTS bits at most
-    )
-    if not marks:
-        return partners.select("pos", F.col("pos").alias("kept")).where("false")
-    taken = bytearray(FILTER_SLOTS)
-    for m in marks:
-        bits = int.from_bytes(bytes(m["bits"]), "little")
-        first = (m["bucket"] - 1) * len(m["bits"]) * 8
-        while bits:
-            low = bits & -bits
-            taken[first + low.bit_length() - 1] = 1
-            bits ^= low
-    maybe = F.substring(F.lit(bytes(taken)), (slot() + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    bits = bit_filter(partners.select(F.xxhash64("pos").alias("x")), "x", FILTER_SLOTS)
+    taken = np.unpackbits(bits, bitorder="little")
+    maybe = F.substring(F.lit(taken.tobytes()), (slot() + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
     lines = _lines(docs).where(maybe).select(order.pack().alias("pos"), words_of(F.col("line")).alias("words"))
     lines = materialise(lines.join(partners, "pos", "left_semi").dropDuplicates(["pos"]), "lines")
     keyed = lines.select("pos", F.explode(neighbourhood(F.col("words"))).alias("key"))

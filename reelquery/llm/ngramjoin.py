@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_bytes, materialise
+from .common import bit_filter, docs_bytes, materialise
 from .components import connected
 
 #: Rows of one part of a block, and open rows that meet a part at a time.
@@ -125,17 +125,7 @@ def blocks(sharing: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, grams): whole n-gram sets, as bytes, of the given documents (and of a few more)."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)) + 1
-    parts = (
-        nodes.select(bit.alias("x"))
-        .groupBy(F.expr("bitmap_bucket_number(x)").alias("bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
-        .collect()  # FILTER_BITS bits at most
-    )
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        piece = np.frombuffer(bytes(r["bits"]), np.uint8)
-        bits[(r["bucket"] - 1) * len(piece) : r["bucket"] * len(piece)] = piece
+    bits = bit_filter(nodes.select(F.xxhash64("node").alias("x")), "x", FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

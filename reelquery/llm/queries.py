@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, linededup, ngramjoin, packing, pii, quality, topk
+from . import bpe, chat, chunkdedup, linededup, lmscore, ngramjoin, packing, pii, quality, topk
 from .common import table
 
 
@@ -31,10 +31,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -54,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_topk": op3_topk,
     "op4_pii": op4_pii,
+    "op5_lm_score": op5_lm_score,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
