@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 BLOCK, DEVIATION, FLAT_SIZE, DESCRIPTOR_SIZE = 8, 3.0, (256, 144), 32
 #: Weights of blue, green and red in grey.
@@ -45,7 +46,7 @@ def _decode(data: bytes, height: int, width: int, channels: int) -> np.ndarray |
     return np.repeat(image, 3, 2) if channels == 1 else image[:, :, :3]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _flatness(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for data, h, w, c in parts:
         out = []
@@ -59,7 +60,7 @@ def _flatness(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]
         yield pd.Series(out)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def _descriptor(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for data, h, w, c in parts:
         out = []
