@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Internal columns carry this prefix so that extra input columns cannot clash.
@@ -35,21 +35,34 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bit_filter(keys: DataFrame, key: str, n_bits: int) -> np.ndarray:
-    """Bytes of n_bits bits, set at pmod(key, n_bits) of each row: its size is fixed, whatever the number of rows."""
+def bit_table(keys: DataFrame, key: str, n_bits: int) -> DataFrame:
+    """(bucket, bits): n_bits bits, set at pmod(key, n_bits) of each row; at most n_bits / 32768 rows of 4 KB."""
     x = keys.select((F.pmod(F.col(key), F.lit(n_bits)) + 1).alias("x"))
-    parts = (
-        x.groupBy(F.expr("bitmap_bucket_number(x)").alias("bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
-        .collect()
+    return x.groupBy(F.expr("bitmap_bucket_number(x)").alias("bucket")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits")
     )
+
+
+def bit_filter(keys: DataFrame, key: str, n_bits: int) -> np.ndarray:
+    """The bits of `bit_table` as bytes: their number is fixed, whatever the number of rows."""
     bits = np.zeros(n_bits // 8, np.uint8)
-    for r in parts:
+    for r in bit_table(keys, key, n_bits).collect():
         piece = np.frombuffer(bytes(r["bits"]), np.uint8)
         bits[(r["bucket"] - 1) * len(piece) : r["bucket"] * len(piece)] = piece
     return bits
 
 
+def with_bit(rows: DataFrame, key: Column, marks: DataFrame, n_bits: int) -> DataFrame:
+    """Rows whose bit is set in a `bit_table`, which is broadcast: n_bits bounds its size."""
+    kept = rows.columns
+    rows = rows.withColumn(P + "x", F.pmod(key, F.lit(n_bits)) + 1)
+    rows = rows.withColumns({P + "b": F.expr(f"bitmap_bucket_number({P}x)"), P + "p": F.expr(f"bitmap_bit_position({P}x)")})
+    met = rows.join(F.broadcast(marks), F.col(P + "b") == F.col("bucket"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col(P + "p") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    bit = F.pmod(F.floor(byte.cast("int") / F.pow(F.lit(2), F.col(P + "p") % 8)), F.lit(2))
+    return met.where(bit == 1).select(*kept)
+
+
 def docs_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key long, text binary): null text becomes empty; only two columns are read."""
     return docs.select(

@@ -19,16 +19,15 @@ goes when any earlier line is within the bound.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, bit_filter, materialise
+from .common import P, bit_table, materialise, with_bit
 from .pii import let
 
 EDIT_WORDS = 8
-#: Slots of the filter that spares lines without a partner from being shuffled: a fixed size, one byte each.
-FILTER_SLOTS = 1 << 22
+#: Bits of the filter that spares lines without a partner from being shuffled: a fixed size, 1 MB.
+FILTER_BITS = 1 << 23
 _GAP = r"[\x20\x09-\x0D]+"
 _BLOCK = 64
 
@@ -135,11 +134,9 @@ def _near(docs: DataFrame, distinct: DataFrame, order: Order) -> DataFrame:
     halves = distinct.select("pos", F.explode("halves").alias("key"))
     shared = halves.groupBy("key").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).where("lo <> hi")
     partners = materialise(halves.join(shared.select("key"), "key", "left_semi").select("pos").distinct(), "partners")
-    slot = lambda: F.pmod(F.xxhash64(order.pack()), F.lit(FILTER_SLOTS))
-    bits = bit_filter(partners.select(F.xxhash64("pos").alias("x")), "x", FILTER_SLOTS)
-    taken = np.unpackbits(bits, bitorder="little")
-    maybe = F.substring(F.lit(taken.tobytes()), (slot() + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
-    lines = _lines(docs).where(maybe).select(order.pack().alias("pos"), words_of(F.col("line")).alias("words"))
+    marks = bit_table(partners.select(F.xxhash64("pos").alias("x")), "x", FILTER_BITS)
+    lines = _lines(docs).select(order.pack().alias("pos"), "line")
+    lines = with_bit(lines, F.xxhash64("pos"), marks, FILTER_BITS).select("pos", words_of(F.col("line")).alias("words"))
     lines = materialise(lines.join(partners, "pos", "left_semi").dropDuplicates(["pos"]), "lines")
     keyed = lines.select("pos", F.explode(neighbourhood(F.col("words"))).alias("key"))
     first = keyed.groupBy("key").agg(F.min("pos").alias("kept"), F.max("pos").alias("last")).where("kept <> last")
