@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship
 from .template import END, START, compile_template
 
 PART_CHARS = 1 << 20
@@ -62,6 +63,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
     conversation of that id.  Spans are in code points of their part; a span
     never crosses parts.  Extra columns are not read; no rows give no rows.
     """
+    ship(rows.sparkSession)
     compile_template(template, {"escape": escape})  # errors surface on the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship
+
 #: Internal columns carry this prefix so that extra input columns cannot clash.
 P = "__rq_"
 
@@ -65,6 +67,7 @@ def with_bit(rows: DataFrame, key: Column, marks: DataFrame, n_bits: int) -> Dat
 
 def docs_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key long, text binary): null text becomes empty; only two columns are read."""
+    ship(docs.sparkSession)
     return docs.select(
         F.col(key).cast("long").alias(key),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias(text),

@@ -87,6 +87,48 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+OP6_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: list_slice(w, i, i + 3)) END) AS g FROM t
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.r = e.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT a, min(r) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id
+"""
+
+OP9_SQL = """
+WITH x AS (
+  SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, l, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(p) AS l, unnest(range(1, len(p) + 1)) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents))
+  WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')
+), f AS (SELECT l, any_value(w) AS w, min({'d': doc_id, 'n': line_no}) AS pos FROM x GROUP BY l
+), k AS (
+  SELECT pos, unnest(list_concat(
+    list_transform(range(0, len(w)), lambda i: hash([len(w), i], list_slice(w, 1, i), list_slice(w, i + 2, len(w)))),
+    list_transform(range(0, len(w) + 1), lambda i: hash([len(w) + 1, i], list_slice(w, 1, i), list_slice(w, i + 1, len(w)))))) AS key
+  FROM f WHERE len(w) >= 8
+), g AS (SELECT key, min(pos) AS kept FROM k GROUP BY key HAVING count(DISTINCT pos) > 1
+), near AS (SELECT k.pos, min(g.kept) AS kept FROM k JOIN g ON k.key = g.key WHERE g.kept < k.pos GROUP BY k.pos
+)
+SELECT x.doc_id, x.line_no, coalesce(near.kept, f.pos).d AS kept_doc_id, coalesce(near.kept, f.pos).n AS kept_line_no,
+       CASE WHEN near.kept IS NULL THEN 0 ELSE 1 END AS edits
+FROM x JOIN f ON x.l = f.l LEFT JOIN near ON near.pos = f.pos
+WHERE near.kept IS NOT NULL OR {'d': x.doc_id, 'n': x.line_no} > f.pos
+"""
+
+
 def _op8_sql() -> str:
     stops = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
     bounds = []
@@ -127,4 +169,9 @@ FROM b
 """
 
 
-ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op8_quality": _op8_sql()}
+ORACLES: dict[str, str] = {
+    "op3_topk": OP3_SQL,
+    "op6_ngram_jaccard": OP6_SQL,
+    "op8_quality": _op8_sql(),
+    "op9_line_dedup": OP9_SQL,
+}

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship
 from .common import P
 
 CANDIDATES_PER_BLOCK = 16_384
@@ -110,6 +111,7 @@ def top_k(
     are not read; an empty table gives no rows.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = quantised(vectors, key, vector, scale)
     queries = rows.where(F.col("id") % every == 0).groupBy("id", "v").agg(F.count("*").alias("copies"))
     counts = vectors.agg(
