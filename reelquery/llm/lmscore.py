@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_bytes
+from .common import docs_bytes, materialise
 
 CLASSES = 32
 VOCABULARY = CLASSES * CLASSES
@@ -87,6 +87,22 @@ def ids_of(text: bytes, table: Ids) -> np.ndarray:
     return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(doc_id, ids): two bytes per word, written once for all passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Ids()
+        for b in batches:
+            ids = [ids_of(t.as_py(), table).astype("<u2").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return materialise(docs_bytes(docs).mapInArrow(run, "doc_id long, ids binary"), "ids")
+
+
+def _ids(raw: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_py(), "<u2").astype(np.int64)
+
+
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(neighbours, centres): a text's ends see PAD."""
     gap = np.full(SIDE, PAD, np.int64)
@@ -113,7 +129,7 @@ def _forward(p: dict[str, np.ndarray], near: np.ndarray, centre: np.ndarray) ->
     order = np.argsort(cls, kind="stable")
     near, centre, cls = near[order], centre[order], cls[order]
     vectors = p["embed"][near]
-    h = np.tanh(np.einsum("nkd,kde->ne", vectors, p["place"], optimize=True) + p["hidden"])
+    h = np.tanh(vectors.reshape(len(near), -1) @ p["place"].reshape(-1, WIDTH) + p["hidden"])
     pc = _softmax(h @ p["cls"] + p["cls_bias"])
     bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
     pw = np.empty((len(h), CLASSES), np.float32)
@@ -155,10 +171,9 @@ def step(flat: np.ndarray, near: np.ndarray, centre: np.ndarray, rate: float) ->
     p["cls_bias"] -= r * pc.sum(0)
     back *= 1 - h * h
     p["hidden"] -= r * back.sum(0)
-    into = np.empty((n, 2 * SIDE, WIDTH), np.float32)
-    for k in range(2 * SIDE):
-        into[:, k] = back @ p["place"][k].T
-        p["place"][k] -= r * (vectors[:, k].T @ back)
+    place = p["place"].reshape(-1, WIDTH)
+    into = back @ place.T
+    place -= r * (vectors.reshape(n, -1).T @ back)
     # Embedding rows: sorted sums instead of a scatter per word.
     ids = near.reshape(-1)
     order = np.argsort(ids, kind="stable")
@@ -167,15 +182,15 @@ def step(flat: np.ndarray, near: np.ndarray, centre: np.ndarray, rate: float) ->
     p["embed"][ids[first]] -= r * np.add.reduceat(into.reshape(-1, WIDTH)[order], first, axis=0)
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
-    """Parameters fitted to all texts; the same for the same table and shares."""
+def train(words: DataFrame, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
+    """Parameters fitted to all texts of a `tokenised` table; the same for the same table and shares."""
     flat = start(seed)
-    texts = docs_bytes(docs).select("text")
+    texts = words.select("ids")
     for turn in range(rounds):
         begin, rate = flat.copy(), RATE / (1 + turn)
 
         def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, held = Ids(), []
+            held: list[np.ndarray] = []
             mine, words, waiting, n = begin.copy(), 0, 0, 0  # noqa: B023
 
             def work() -> None:
@@ -196,7 +211,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
 
             for b in batches:
                 for text in b.column(0):
-                    held.append(ids_of(text.as_py(), table))
+                    held.append(_ids(text))
                     waiting += len(held[-1])
                     words += len(held[-1])
                     n += 1
@@ -221,17 +236,17 @@ def train(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
 SCORES = "doc_id long, n_words long, log_likelihood double, per_word double"
 
 
-def score(docs: DataFrame, parameters: np.ndarray) -> DataFrame:
-    """doc_id, n_words, log_likelihood, per_word: one row per input row.
+def score(words: DataFrame, parameters: np.ndarray) -> DataFrame:
+    """doc_id, n_words, log_likelihood, per_word: one row per row of a `tokenised` table.
 
     Null, empty or blank text has no words, a log-likelihood of 0 and a null
     per_word; null doc_id stays null; repeated rows repeat; extra columns are
     not read; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(parameters)  # SIZE floats
+    shared = words.sparkSession.sparkContext.broadcast(parameters)  # SIZE floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, flat = Ids(), shared.value
+        flat = shared.value
         for b in batches:
             n, total = [], []
             held: list[np.ndarray] = []
@@ -244,7 +259,7 @@ def score(docs: DataFrame, parameters: np.ndarray) -> DataFrame:
                 held.clear()  # noqa: B023
 
             for text in b.column(1):
-                held.append(ids_of(text.as_py(), table))
+                held.append(_ids(text))
                 n.append(len(held[-1]))
                 if sum(n[-len(held) :]) >= 16 * STEP_WORDS:
                     work()
@@ -256,9 +271,10 @@ def score(docs: DataFrame, parameters: np.ndarray) -> DataFrame:
                 [c.split()[0] for c in SCORES.split(", ")],
             )
 
-    return docs_bytes(docs).mapInArrow(run, SCORES)
+    return words.mapInArrow(run, SCORES)
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Train on the documents and score them."""
-    return score(docs, train(docs, rounds))
+    """Train on the documents and score them; the cases are those of `score`."""
+    words = tokenised(docs)
+    return score(words, train(words, rounds))
