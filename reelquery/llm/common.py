@@ -34,6 +34,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reelquery/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files live until the driver's garbage is collected: those of this step are of no more use.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

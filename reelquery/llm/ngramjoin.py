@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import bit_filter, docs_bytes, materialise
 from .components import connected
 
-#: Rows of one part of a block, and open rows that meet a part at a time.
+#: Rows and n-grams of one part of a block, about, and open rows that meet a part at a time.
 BLOCK_ROWS = 2048
+BLOCK_GRAMS = 1 << 22
 OPEN_ROWS = 512
 #: Bits of the filter that spares texts of discarded rows from being read again: a fixed size, 1 MB.
 FILTER_BITS = 1 << 23
@@ -68,6 +69,11 @@ def shared_least(n, num: int, den: int):
     return 1 + slack(n, num, den) * 2 // 3
 
 
+def least_shared(num: int, den: int) -> str:
+    """SQL over n: `shared_least` of the smallest partner, which has ceil(n * num / den) n-grams."""
+    return f"1 + floor(floor(({den} - {num}) * ceil(n * {num} / {den}) / {den}) * 2 / 3)"
+
+
 INCIDENCE = "doc_id long, set_id binary, n long, prefix array<long>"
 
 
@@ -100,27 +106,47 @@ def incidence(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def sharing_rows(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(gram, node, wide): prefix n-grams of rows that may have a link, where other such rows have them too.
+    """(gram, node, n, wide): prefix n-grams of rows that may have a link, where other such rows have them too.
 
     `wide` is the share, in thousandths, of a row's prefix that others have.
     """
     postings = rows.select(F.col("doc_id").alias("node"), "n", F.size("prefix").alias("p"), F.explode("prefix").alias("gram"))
     common = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = materialise(postings.join(common.select("gram"), "gram"), "shared")
+    common = materialise(common.select("gram"), "common")
+    shared = materialise(postings.join(common, "gram"), "shared")
     # A partner is no smaller than ceil(n * num / den), so neither is what it shares.
-    least = F.expr(f"1 + floor(floor(({den} - {num}) * ceil(n * {num} / {den}) / {den}) * 2 / 3)")
-    able = shared.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("c"), F.max("p").alias("p"))
-    able = able.where(F.col("c") >= least).select("node", (F.col("c") * 1000 / F.col("p")).cast("int").alias("wide"))
-    return materialise(shared.select("gram", "node").join(able, "node"), "able")
-
-
-def blocks(sharing: DataFrame) -> DataFrame:
-    """(pivot, node) distinct: rows that share an n-gram, under the widest sharing row of that n-gram."""
-    pivots = sharing.groupBy("gram").agg(
-        F.max(F.struct("wide", (-F.col("node")).alias("minus"))).alias("m"),
-        F.min("node").alias("lo"), F.max("node").alias("hi"),
-    ).where("lo <> hi").select("gram", (-F.col("m.minus")).alias("pivot"))
-    return sharing.join(pivots, "gram").select("pivot", "node").distinct()
+    least = F.expr(least_shared(num, den))
+    share = (F.count("*") * 1000 / F.max("p")).cast("int")
+    able = shared.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("c"), share.alias("wide"))
+    able = able.where(F.col("c") >= least).select("node", "wide")
+    shared = materialise(shared.select("gram", "node", "n", "p").join(able.select("node"), "node"), "able")
+    # Once more among what is left: passages shared with discarded rows alone count no longer.
+    common = shared.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    shared = materialise(shared.join(common.select("gram"), "gram"), "again")
+    able = shared.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("c"), share.alias("wide"))
+    able = able.where(F.col("c") >= least).select("node", "n", "wide")
+    return materialise(shared.select("gram", "node").join(able, "node"), "sharing")
+
+
+def blocks(sharing: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, node, n) distinct: rows that share an n-gram, under the widest sharing row of that n-gram.
+
+    A pivot that shares with a wider pivot as much as a link takes hands its
+    block over, so the rows of a group of copies stand in one block rather than
+    in several; one that shares a passage alone keeps its own.
+    """
+    best = F.max(F.struct("wide", (-F.col("node")).alias("minus")))
+    pivots = sharing.groupBy("gram").agg(best.alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    pivots = pivots.where("lo <> hi").select("gram", (-F.col("m.minus")).alias("pivot"), F.col("m.wide").alias("wide"))
+    members = sharing.select("gram", "node", "n").join(pivots, "gram").groupBy("pivot", "wide", "node", "n")
+    members = materialise(members.agg(F.count("*").alias("c")), "members")
+    rank = F.struct("wide", (-F.col("pivot")).alias("minus"))
+    near = members.where((F.col("c") >= F.expr(least_shared(num, den))) | (F.col("node") == F.col("pivot")))
+    heads = near.join(members.select(F.col("pivot").alias("head")).distinct(), F.col("node") == F.col("head"), "left_semi")
+    up = materialise(heads.groupBy("node").agg(F.max(rank).alias("m")).select("node", (-F.col("m.minus")).alias("up")), "up")
+    higher = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    up = up.join(higher, "up").select(F.col("node").alias("pivot"), "top")
+    return members.join(up, "pivot").select(F.col("top").alias("pivot"), "node", "n").distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -248,8 +274,9 @@ def _found(edges: list[tuple], left_open: list[tuple]) -> pa.RecordBatch:
 
 def links(docs: DataFrame, members: DataFrame, words: int, num: int, den: int, block_rows: int) -> DataFrame:
     """(a, b): links that span every component within and across the blocks' parts."""
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("m"))
-    parts = sizes.select("pivot", F.ceil(F.col("m") / block_rows).cast("int").alias("parts"))
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+    most = F.greatest(F.col("m") / block_rows, F.col("grams") / BLOCK_GRAMS)
+    parts = sizes.select("pivot", F.ceil(most).cast("int").alias("parts"))
     placed = members.join(parts, "pivot").select(
         "pivot", "node", "parts", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("part")
     )
@@ -335,8 +362,9 @@ def jaccard_components(
     usable = all_rows.where("doc_id is not null and n > 0")
     firsts = materialise(usable.groupBy("set_id").agg(F.min("doc_id").alias("node")), "firsts")
     ones = usable.join(firsts, (usable["doc_id"] == firsts["node"]) & (usable["set_id"] == firsts["set_id"]), "left_semi")
-    sharing = sharing_rows(ones.dropDuplicates(["doc_id", "set_id"]), num, den)
-    members = materialise(blocks(sharing), "members")
+    ones = materialise(ones.dropDuplicates(["doc_id", "set_id"]), "ones")
+    sharing = sharing_rows(ones, num, den)
+    members = materialise(blocks(sharing, num, den), "blocks")
     found = connected(links(docs, members, words, num, den, block_rows))
     of_set = firsts.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     return all_rows.select("doc_id", "set_id", "n").join(of_set, "set_id", "left").select(
