@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
+def materialise(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write to the shared folder, in folders by the columns `by`, and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reelquery/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     # Shuffle files live until the driver's garbage is collected: those of this step are of no more use.
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -4,32 +4,43 @@ Every word of a text is hidden in turn and predicted from its neighbours on
 both sides by a small network; the sum of the conditional log-probabilities
 scores the document.
 
-Words are hashed to VOCABULARY ids.  The network averages nothing: each of
-the places in the window has its own matrix applied to the neighbour's
-embedding; the sum passes through tanh and predicts in two steps, the id's
-class (softmax over CLASSES) and the id within its class (softmax over that
-class), so a word costs CLASSES + VOCABULARY / CLASSES outputs, and the
-probabilities over all ids sum to one.
-
-Training is synchronous over the whole corpus: in each round every task runs
-its share of the texts through minibatch steps from the common parameters
-and returns what its parameters moved, weighted by its words; the moves are
-summed in Spark, so the driver holds one set of parameters.  What is gathered
-grows with the number of shares, hence with the corpus.
+The vocabulary is counted over all documents.  Frequent words have an id of
+their own; every other word falls, by hash, into one of the unknown ids, and
+its probability is that of the unknown id times its share of the words
+counted there.  All words count, so a rare word never scores as a frequent
+one.  The counts stay a table that is joined, and never go to the driver; the
+number of ids grows as the square root of the number of distinct words.
+
+The network averages nothing: each of the places in the window has its own
+matrix applied to the neighbour's embedding; the sum passes through tanh and
+predicts in two steps, the id's class (softmax over the classes) and the id
+within its class (softmax over that class), so with C * C ids a word costs
+2 * C outputs, and the probabilities over all ids sum to one.
+
+Training is synchronous over the whole corpus: a round goes through it in
+turns.  In each turn every task runs its share of the turn's texts through
+minibatch steps from the common parameters and returns what its parameters
+moved, weighted by its words; the moves are summed in Spark, so the driver
+holds one set of parameters.  Turns and shares in a turn both grow as the
+square root of the corpus, so a larger corpus is trained in more steps.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import docs_bytes, materialise
 
+#: Classes and ids of the smallest model.
 CLASSES = 32
 VOCABULARY = CLASSES * CLASSES
 WIDTH = 16
@@ -41,66 +52,159 @@ RATE = 5.0
 STEP_WORDS = 4096
 #: Texts of one share of the training, about.
 SHARE_TEXTS = 4096
-PAD = VOCABULARY
+#: Words that are counted at a time.
+COUNT_WORDS = 1 << 21
+#: Stands outside a text's ends; its embedding is the last one.
+PAD = -1
 
-SHAPES = {
-    "embed": (VOCABULARY + 1, WIDTH),
-    "place": (2 * SIDE, WIDTH, WIDTH),
-    "hidden": (WIDTH,),
-    "cls": (WIDTH, CLASSES),
-    "cls_bias": (CLASSES,),
-    "word": (CLASSES, WIDTH, CLASSES),
-    "word_bias": (CLASSES, CLASSES),
-}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    return {
+        "embed": (classes * classes + 1, WIDTH),
+        "place": (2 * SIDE, WIDTH, WIDTH),
+        "hidden": (WIDTH,),
+        "cls": (WIDTH, classes),
+        "cls_bias": (classes,),
+        "word": (classes, WIDTH, classes),
+        "word_bias": (classes, classes),
+    }
 
-def split(flat: np.ndarray) -> dict[str, np.ndarray]:
+
+def split(flat: np.ndarray, classes: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in SHAPES.items():
+    for name, shape in shapes(classes).items():
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
 
 
-def start(seed: int = 1) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    flat = rng.normal(0, 0.25, SIZE).astype(np.float32)
-    for name in ("hidden", "cls_bias", "word_bias"):
-        split(flat)[name][...] = 0
-    return flat
+@dataclass(frozen=True)
+class Vocabulary:
+    """Ids of words: own ids by falling count from 0, then the unknown ids."""
+
+    classes: int
+    #: Hashes of the words with an own id, ascending, and their ids.
+    hashes: np.ndarray
+    own: np.ndarray
+    #: Words counted in each id; from `first_unknown` on, ids are unknown ones.
+    totals: np.ndarray
+    first_unknown: int
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        ids = np.mod(hashes, len(self.totals) - self.first_unknown) + self.first_unknown
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            ids = np.where(self.hashes[at] == hashes, self.own[at], ids)
+        return ids
+
+
+@dataclass(frozen=True)
+class Model:
+    flat: np.ndarray
+    vocabulary: Vocabulary
+    #: (h, n): words counted twice or more.
+    counts: DataFrame
+
+
+def classes_for(distinct: int) -> int:
+    """C * C ids, at least the square root of the number of distinct words."""
+    return max(CLASSES, math.ceil(distinct**0.25))
+
+
+def turns_for(texts: int) -> int:
+    """Turns of a round: half the square root of the number of shares."""
+    return max(1, math.ceil(math.sqrt(math.ceil(texts / SHARE_TEXTS)) / 2))
 
 
-class Ids(dict):
-    """word (bytes) -> id; starts anew when full."""
+class Hashes(dict):
+    """word (bytes) -> hash; starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word) % VOCABULARY
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-def ids_of(text: bytes, table: Ids) -> np.ndarray:
+def hashes_of(text: bytes, table: Hashes) -> np.ndarray:
     words = text.lower().split()
-    return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """(doc_id, ids): two bytes per word, written once for all passes."""
+    """(row, doc_id, hashes): eight bytes per word, written once for all passes; row numbers are unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Ids()
+        table, first = Hashes(), TaskContext.get().partitionId() << 33
         for b in batches:
-            ids = [ids_of(t.as_py(), table).astype("<u2").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            hashes = [hashes_of(t.as_py(), table).astype("<u8").tobytes() for t in b.column(1)]
+            rows = pa.array(np.arange(first, first + len(hashes)))
+            first += len(hashes)
+            yield pa.RecordBatch.from_arrays([rows, b.column(0), pa.array(hashes, pa.binary())], ["row", "doc_id", "hashes"])
 
-    return materialise(docs_bytes(docs).mapInArrow(run, "doc_id long, ids binary"), "ids")
+    return materialise(docs_bytes(docs).mapInArrow(run, "row long, doc_id long, hashes binary"), "hashes")
+
+
+def _hashes(raw: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_py(), "<i8")
+
+
+def count_words(words: DataFrame) -> DataFrame:
+    """(h, n): every distinct word of a `tokenised` table and how often it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
+
+        for b in batches:
+            for raw in b.column(0):
+                held.append(_hashes(raw))
+                waiting += len(held[-1])
+                if waiting >= COUNT_WORDS:
+                    yield counted()
+                    waiting = 0
+        if held:
+            yield counted()
+
+    counts = words.select("hashes").mapInArrow(run, "h long, n long")
+    return materialise(counts.groupBy("h").agg(F.sum("n").alias("n")), "counts")
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """A quarter of the ids are unknown ones; the rest go to the most frequent words that occur more than once."""
+    classes = classes_for(counts.count())
+    unknown = classes * classes // 4
+    top = counts.where("n > 1").orderBy(F.desc("n"), "h").limit(classes * classes - unknown).toArrow()
+    h, n = (np.array(top.column(c), np.int64) for c in ("h", "n"))
+    found = counts.groupBy(F.pmod("h", F.lit(unknown)).alias("id")).agg(F.sum("n").alias("n")).toArrow()
+    totals, first = np.zeros(classes * classes, np.int64), classes * classes - unknown
+    totals[first + np.array(found.column("id"), np.int64)] = np.array(found.column("n"), np.int64)
+    np.subtract.at(totals, first + np.mod(h, unknown), n)
+    totals[: len(n)] = n
+    order = np.argsort(h)
+    return Vocabulary(classes, h[order], order, totals, first)
+
+
+def start(known: Vocabulary, seed: int = 1) -> np.ndarray:
+    """Parameters that predict every id as often as it was counted."""
+    rng, classes = np.random.default_rng(seed), known.classes
+    flat = rng.normal(0, 0.25, sum(int(np.prod(s)) for s in shapes(classes).values())).astype(np.float32)
+    p = split(flat, classes)
+    n = np.maximum(known.totals, 0.5).reshape(classes, classes)
+    p["hidden"][...] = 0
+    p["cls_bias"][...] = np.log(n.sum(1) / n.sum())
+    p["word_bias"][...] = np.log(n / n.sum(1, keepdims=True))
+    return flat
 
 
 def _ids(raw: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(raw.as_py(), "<u2").astype(np.int64)
+    return np.frombuffer(raw.as_py(), "<u4").astype(np.int64)
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,43 +229,48 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _forward(p: dict[str, np.ndarray], near: np.ndarray, centre: np.ndarray) -> tuple:
     """Rows are sorted by the centre's class: (order, vectors, hidden, class probs, word probs, class bounds)."""
-    cls = centre // CLASSES
+    classes = len(p["cls_bias"])
+    cls = centre // classes
     order = np.argsort(cls, kind="stable")
     near, centre, cls = near[order], centre[order], cls[order]
     vectors = p["embed"][near]
     h = np.tanh(vectors.reshape(len(near), -1) @ p["place"].reshape(-1, WIDTH) + p["hidden"])
     pc = _softmax(h @ p["cls"] + p["cls_bias"])
-    bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
-    pw = np.empty((len(h), CLASSES), np.float32)
-    for c in range(CLASSES):
+    bounds = np.searchsorted(cls, np.arange(classes + 1))
+    pw = np.empty((len(h), classes), np.float32)
+    for c in range(classes):
         a, b = bounds[c], bounds[c + 1]
         if a < b:
             pw[a:b] = h[a:b] @ p["word"][c] + p["word_bias"][c]
     return order, near, centre, cls, vectors, h, pc, _softmax(pw), bounds
 
 
-def log_probabilities(flat: np.ndarray, near: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """log P(word | its neighbours on both sides), in the order of the words."""
-    p, out = split(flat), np.empty(len(centre))
+def log_probabilities(model: Model, near: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """log P(id | its neighbours on both sides), in the order of the words."""
+    return _log_probabilities(model.flat, model.vocabulary.classes, near, centre)
+
+
+def _log_probabilities(flat: np.ndarray, classes: int, near: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    p, out = split(flat, classes), np.empty(len(centre))
     for a in range(0, len(centre), STEP_WORDS):
         order, _, c, cls, _, _, pc, pw, _ = _forward(p, near[a : a + STEP_WORDS], centre[a : a + STEP_WORDS])
         at = np.arange(len(c))
-        found = np.log(pc[at, cls] + 1e-12) + np.log(pw[at, c % CLASSES] + 1e-12)
+        found = np.log(pc[at, cls] + 1e-12) + np.log(pw[at, c % classes] + 1e-12)
         out[a + order] = found
     return out
 
 
-def step(flat: np.ndarray, near: np.ndarray, centre: np.ndarray, rate: float) -> None:
+def step(flat: np.ndarray, classes: int, near: np.ndarray, centre: np.ndarray, rate: float) -> None:
     """One step of gradient ascent, in place."""
-    p = split(flat)
+    p = split(flat, classes)
     _, near, centre, cls, vectors, h, pc, pw, bounds = _forward(p, near, centre)
     n = len(centre)
     at = np.arange(n)
     pc[at, cls] -= 1
-    pw[at, centre % CLASSES] -= 1
+    pw[at, centre % classes] -= 1
     back = pc @ p["cls"].T
     r = np.float32(rate / n)
-    for c in range(CLASSES):
+    for c in range(classes):
         a, b = bounds[c], bounds[c + 1]
         if a < b:
             back[a:b] += pw[a:b] @ p["word"][c].T
@@ -182,96 +291,137 @@ def step(flat: np.ndarray, near: np.ndarray, centre: np.ndarray, rate: float) ->
     p["embed"][ids[first]] -= r * np.add.reduceat(into.reshape(-1, WIDTH)[order], first, axis=0)
 
 
-def train(words: DataFrame, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
-    """Parameters fitted to all texts of a `tokenised` table; the same for the same table and shares."""
-    flat = start(seed)
-    texts = words.select("ids")
-    for turn in range(rounds):
-        begin, rate = flat.copy(), RATE / (1 + turn)
+def _in_turns(words: DataFrame, known: Vocabulary, turns: int) -> DataFrame:
+    """(ids, turn): four bytes per word; blocks of SHARE_TEXTS texts of a task go to the turns one after another."""
 
-        def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[np.ndarray] = []
-            mine, words, waiting, n = begin.copy(), 0, 0, 0  # noqa: B023
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = np.array(b.column(0), np.int64)
+            turn = ((row >> 33) + (row & (1 << 33) - 1) // SHARE_TEXTS) % turns
+            ids = [known.ids(_hashes(raw)).astype("<u4").tobytes() for raw in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(turn.astype(np.int32))], ["ids", "turn"])
+
+    return materialise(words.select("row", "hashes").mapInArrow(run, "ids binary, turn int"), "ids", "turn")
+
+
+def _moves(texts: DataFrame, begin: np.ndarray, classes: int, rate: float) -> DataFrame:
+    """(at, move, words): what the parameters moved, times words, summed over the shares of a turn."""
+    size = len(begin)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        mine, words, waiting, n = begin.copy(), 0, 0, 0
+
+        def work() -> None:
+            nonlocal waiting
+            near, centre = windows(held)
+            for a in range(0, len(centre), STEP_WORDS):
+                part = slice(a, a + STEP_WORDS)
+                step(mine, classes, near[part], centre[part], rate * min(1.0, len(centre[part]) / STEP_WORDS))
+            held.clear()
+            waiting = 0
+
+        def moved() -> pa.RecordBatch:
+            at = pa.array(np.arange(size, dtype=np.int32))
+            return pa.RecordBatch.from_arrays(
+                [at, pa.array((mine - begin).astype(np.float64) * words), pa.array(np.full(size, words, np.int64))],
+                ["at", "move", "words"],
+            )
 
-            def work() -> None:
-                nonlocal waiting
-                near, centre = windows(held)
-                for a in range(0, len(centre), STEP_WORDS):
-                    part = slice(a, a + STEP_WORDS)
-                    step(mine, near[part], centre[part], rate * min(1.0, len(centre[part]) / STEP_WORDS))  # noqa: B023
-                held.clear()
-                waiting = 0
-
-            def moved() -> pa.RecordBatch:
-                at = pa.array(np.arange(SIZE, dtype=np.int32))
-                return pa.RecordBatch.from_arrays(
-                    [at, pa.array((mine - begin).astype(np.float64) * words), pa.array(np.full(SIZE, words, np.int64))],  # noqa: B023
-                    ["at", "move", "words"],
-                )
-
-            for b in batches:
-                for text in b.column(0):
-                    held.append(_ids(text))
-                    waiting += len(held[-1])
-                    words += len(held[-1])
-                    n += 1
-                    if waiting >= 8 * STEP_WORDS:
-                        work()
-                    if n == SHARE_TEXTS:
-                        work()
+        for b in batches:
+            for text in b.column(0):
+                held.append(_ids(text))
+                waiting += len(held[-1])
+                words += len(held[-1])
+                n += 1
+                if waiting >= 8 * STEP_WORDS:
+                    work()
+                if n == SHARE_TEXTS:
+                    work()
+                    if words:
                         yield moved()
-                        mine, words, n = begin.copy(), 0, 0  # noqa: B023
-            work()
-            if words:
-                yield moved()
-
-        moves = texts.mapInArrow(share, "at int, move double, words long")
-        total = moves.groupBy("at").agg(F.sum("move").alias("move"), F.sum("words").alias("words")).collect()  # SIZE rows
-        flat = begin.copy()
-        for r in total:
-            flat[r["at"]] += r["move"] / r["words"]
-    return flat
-
-
-SCORES = "doc_id long, n_words long, log_likelihood double, per_word double"
-
-
-def score(words: DataFrame, parameters: np.ndarray) -> DataFrame:
+                    mine, words, n = begin.copy(), 0, 0
+        work()
+        if words:
+            yield moved()
+
+    moves = texts.mapInArrow(share, "at int, move double, words long")
+    return moves.groupBy("at").agg(F.sum("move").alias("move"), F.sum("words").alias("words"))
+
+
+def train(words: DataFrame, rounds: int = ROUNDS, seed: int = 1) -> Model:
+    """A model fitted to all texts of a `tokenised` table; the same for the same table and shares."""
+    counts = count_words(words)
+    known = vocabulary(counts)
+    turns = turns_for(words.count())
+    texts = _in_turns(words, known, turns)
+    flat = start(known, seed)
+    for epoch in range(rounds):
+        for turn in range(turns):
+            part = texts.where(F.col("turn") == turn).select("ids")
+            total = _moves(part, flat, known.classes, RATE / (1 + epoch)).toArrow()  # one row per parameter
+            at, move, n = (total.column(c).to_numpy() for c in ("at", "move", "words"))
+            flat = flat.copy()
+            flat[at] += (move / n).astype(np.float32)
+    return Model(flat, known, counts.where("n > 1"))
+
+
+def score(words: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, log_likelihood, per_word: one row per row of a `tokenised` table.
 
-    Null, empty or blank text has no words, a log-likelihood of 0 and a null
-    per_word; null doc_id stays null; repeated rows repeat; extra columns are
-    not read; an empty table gives no rows.
+    A word that the model never met counts as one it met once.  Null, empty
+    or blank text has no words, a log-likelihood of 0 and a null per_word;
+    null doc_id stays null; repeated rows repeat; extra columns are not read;
+    an empty table gives no rows.
     """
-    shared = words.sparkSession.sparkContext.broadcast(parameters)  # SIZE floats
+    shared = words.sparkSession.sparkContext.broadcast((model.flat, model.vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = shared.value
+        flat, known = shared.value
+        # An unknown id's probability is dealt to its words by their counts: the counts themselves follow by a join.
+        less = np.log(np.maximum(known.totals, 1))
+        less[: known.first_unknown] = 0
         for b in batches:
             n, total = [], []
             held: list[np.ndarray] = []
 
             def work() -> None:
                 near, centre = windows(held)  # noqa: B023
-                sums = np.append(0.0, np.cumsum(log_probabilities(flat, near, centre)))
+                found = _log_probabilities(flat, known.classes, near, centre) - less[centre]
+                sums = np.append(0.0, np.cumsum(found))
                 ends = np.cumsum([len(x) for x in held])  # noqa: B023
                 total.extend(np.diff(sums[ends], prepend=0.0).tolist())  # noqa: B023
                 held.clear()  # noqa: B023
 
-            for text in b.column(1):
-                held.append(_ids(text))
+            for raw in b.column(2):
+                held.append(known.ids(_hashes(raw)))
                 n.append(len(held[-1]))
                 if sum(n[-len(held) :]) >= 16 * STEP_WORDS:
                     work()
             if held:
                 work()
-            per = [t / k if k else None for t, k in zip(total, n, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(per, pa.float64())],
-                [c.split()[0] for c in SCORES.split(", ")],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64())],
+                ["row", "doc_id", "n_words", "total"],
             )
 
-    return words.mapInArrow(run, SCORES)
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[1]
+        for b in batches:
+            for first in range(0, len(b), 256):  # a batch may hold millions of words
+                part = b.slice(first, 256)
+                texts = [_hashes(raw) for raw in part.column(1)]
+                rows, h = np.repeat(np.array(part.column(0), np.int64), [len(t) for t in texts]), np.concatenate(texts)
+                at = np.flatnonzero(known.ids(h) >= known.first_unknown)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(h[at])], ["row", "h"])
+
+    scores = words.select("row", "doc_id", "hashes").mapInArrow(run, "row long, doc_id long, n_words long, total double")
+    met = words.select("row", "hashes").mapInArrow(unknown, "row long, h long").join(model.counts, "h")
+    more = met.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    total = F.col("total") + F.coalesce("more", F.lit(0.0))
+    scores = scores.join(more, "row", "left").withColumn("log_likelihood", total)
+    per = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return scores.select("doc_id", "n_words", "log_likelihood", per.alias("per_word"))
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from reelquery.llm import chunkdedup, components, linededup, lmscore, ngramjoin, topk
 
@@ -250,3 +251,41 @@ def test_pseudo_likelihood(spark):
     assert abs(total - 1) < 1e-3 and near[0].tolist() == [lmscore.PAD, lmscore.PAD, 2, 3]
     empty = lmscore.pseudo_likelihood(docs(spark, rows).where("false"))
     assert empty.count() == 0
+
+
+def test_rare_words_do_not_score_as_frequent_ones(spark):
+    bucket = lambda w: xxhash.xxh3_64_intdigest(w.encode()) % 1024
+    # The same remainder, so that any table of 1,024 hashed ids takes the two words for one.
+    rare = next(w for w in (f"q{i}" for i in range(10**6)) if bucket(w) == bucket("the"))
+    rng = random.Random(11)
+    line = lambda: " ".join(rng.choice(["the", "a", "of", f"w{rng.randrange(3000)}"]) for _ in range(60))
+    rows = [(i, line()) for i in range(400)] + [(1000, "a the of the a"), (1001, f"a the of {rare} a")]
+    words = lmscore.tokenised(docs(spark, rows))
+    model = lmscore.train(words)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lmscore.score(words, model).collect()}
+    assert got[1000] > got[1001] + 2
+    # Every distinct word counts, and the words of a place have probabilities that sum to one.
+    plain = {}
+    for _, t in rows:
+        for w in t.split():
+            plain[w] = plain.get(w, 0) + 1
+    counts = {r["h"]: r["n"] for r in lmscore.count_words(words).collect()}
+    assert sorted(counts.values()) == sorted(plain.values())
+    known, h = model.vocabulary, np.array(list(counts), np.int64)
+    ids, total = known.ids(h), np.zeros(known.classes**2)
+    np.add.at(total, ids, [counts[x] for x in h.tolist()])
+    assert total.tolist() == known.totals.tolist()
+    assert len(set(ids[ids < known.first_unknown].tolist())) == int((ids < known.first_unknown).sum())
+    assert {counts[x] for x in h[ids >= known.first_unknown].tolist()} >= {1}
+
+
+def test_model_and_training_grow_with_the_corpus(spark, monkeypatch):
+    assert lmscore.classes_for(10**8) ** 2 >= 10**4 > lmscore.VOCABULARY
+    assert lmscore.turns_for(10**7) > 2 * lmscore.turns_for(10**6) > lmscore.turns_for(1000) == 1
+    monkeypatch.setattr(lmscore, "SHARE_TEXTS", 8)
+    ran = []
+    moves = lmscore._moves
+    monkeypatch.setattr(lmscore, "_moves", lambda texts, *rest: ran.append(texts.count()) or moves(texts, *rest))
+    words = lmscore.tokenised(docs(spark, [(i, f"a b c w{i % 7}") for i in range(400)]))
+    lmscore.train(words, rounds=1)
+    assert len(ran) == lmscore.turns_for(400) > 1 and sum(ran) == 400
