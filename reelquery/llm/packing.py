@@ -69,32 +69,30 @@ class LibraryIds:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _add(self, chunks: set[bytes]) -> list[bytes]:
-        """Encode chunks into the table; returns those that should not stay there."""
-        odd = [c for c in chunks if len(c) > 64 or self.BETWEEN in c]
+    def _encoded(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        odd = {c for c in chunks if len(c) > 64 or self.BETWEEN in c}
         short = list(chunks.difference(odd))
-        if len(self._chunks) + len(chunks) > TABLE_ENTRIES:
-            self._chunks.clear()
-        for chunk in odd:
-            self._chunks[chunk] = self._ids(chunk.decode("utf-8", "replace")).tobytes()
+        found = {c: self._ids(c.decode("utf-8", "replace")).tobytes() for c in odd}
         if short:
             ids = self._ids(b" \x01 ".join(short).decode("utf-8", "replace"))
             raw, start = ids.tobytes(), 0
             for chunk, end in zip(short, [*np.flatnonzero(ids == self._between).tolist(), len(ids)], strict=True):
-                self._chunks[chunk] = raw[4 * start : 4 * end]
+                found[chunk] = raw[4 * start : 4 * end]
                 start = end + 1
-        return odd
+        return found
 
     def encode(self, text: bytes) -> bytes:
         chunks = text.split()
-        odd: list[bytes] = []
-        if new := set(chunks).difference(self._chunks):
-            odd = self._add(new)
-            if len(self._chunks) == len(new):  # the table was cleared
-                odd += self._add(set(chunks).difference(self._chunks))
-        out = b"".join(map(self._chunks.__getitem__, chunks))
-        for chunk in odd:
-            self._chunks.pop(chunk, None)
+        new = set(chunks).difference(self._chunks)
+        if not new:
+            return b"".join(map(self._chunks.__getitem__, chunks))
+        # The text is joined before the table takes its chunks, so it needs nothing that a full table drops.
+        own = self._encoded(new)
+        out = b"".join([own[c] if c in own else self._chunks[c] for c in chunks])
+        if len(self._chunks) + len(own) > TABLE_ENTRIES:
+            self._chunks.clear()
+        if len(own) <= TABLE_ENTRIES:
+            self._chunks.update((c, i) for c, i in own.items() if len(c) <= 64 and self.BETWEEN not in c)
         return out
 
 

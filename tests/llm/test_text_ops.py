@@ -220,3 +220,12 @@ def test_em_recovers_planted_reliabilities():
     belief = pii.estimate([(v, False, n) for v, n in counts.items()])
     right = sum(truth[v][belief[v, False] >= 0.5] for v in counts)
     assert right / 4000 > 0.93
+
+
+def test_packing_encodes_a_text_of_more_chunks_than_the_table_holds(library, monkeypatch):
+    monkeypatch.setattr(packing, "TABLE_ENTRIES", 8)
+    encoder = packing.LibraryIds(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ["the word", "the " + " ".join(f"chunk{i}" for i in range(50)) + " the", "a word \x01 " + "x" * 70, "chunk3 the word"]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text.encode()) == struct.pack(f"<{len(ids)}I", *ids)
+        assert len(encoder._chunks) <= 8
