@@ -44,6 +44,8 @@ RULES = (
     Rule("stop_word_ratio", "n_stop_words", "n_words", 0.01, None),
     Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", None, 0.5),
 )
+#: The rules by which documents are dropped: length alone condemns none, since the ratios judge long texts alike.
+KEEP_RULES = tuple(r for r in RULES if r.name != "length")
 MIN_WORDS = 20
 #: Percent of words in repeated windows from which the base fails.
 MAX_REPEAT_PERCENT = 30
@@ -152,6 +154,6 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.select("doc_id", judged.alias("m")).select("doc_id", "m.*")
 
 
-def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of `docs` that `quality` keeps, all their columns unchanged."""
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = KEEP_RULES) -> DataFrame:
+    """The rows of `docs` that `quality` keeps under `rules`, all their columns unchanged."""
     return docs.where(_let(measures(F.col("text")), lambda m: ~base_failed(m) & compile_rules(m, rules)))

@@ -229,3 +229,8 @@ def test_packing_encodes_a_text_of_more_chunks_than_the_table_holds(library, mon
         ids = library.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text.encode()) == struct.pack(f"<{len(ids)}I", *ids)
         assert len(encoder._chunks) <= 8
+
+
+def test_a_long_clean_document_stays(spark):
+    text = " ".join("the" if i % 5 == 0 else f"word{i}" for i in range(1_000_010))
+    assert quality.keep_good(docs(spark, [text, "short"])).count() == 1
