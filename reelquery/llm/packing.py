@@ -9,7 +9,7 @@ still open is closed by cutting a waiting piece.  Only the end of a task has
 nothing left to cut; its last tokens become sequences whose lengths are
 powers of two, so no sequence is padded.
 
-Sequences of one tier are dealt to step groups of equally many tokens.
+Sequences of one tier are dealt to step groups of equally many tokens; a task's last groups are partial.
 
 All state is a bounded waiting room per task; there is no shuffle, and a
 rerun of a task gives the same rows, since sequence ids are built from the
