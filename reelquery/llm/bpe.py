@@ -139,10 +139,21 @@ class Vocabulary:
                 self._pieces[piece] = found
         return found
 
-    def _plain(self, text: str) -> bytes:
+    @staticmethod
+    def _folded(text: str) -> str:
         # Case is folded character by character, so a final sigma stays a plain one.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self.piece_ids, self._piece.findall(text)))
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.piece_ids, self._piece.findall(self._folded(text))))
+
+    def pieces_of(self, chunks: list[bytes]) -> list[list[bytes]]:
+        """The pieces of each chunk; chunks hold no white space and no special token."""
+        if not chunks:
+            return []
+        # One pass over all of them: a line feed lies in no chunk and joins none to its neighbour.
+        lines = self._folded(b"\n".join(chunks).decode("utf-8", "replace")).split("\n")
+        return [[p.encode() for p in found] for found in map(self._piece.findall, lines)]
 
     def text_ids(self, text: str) -> bytes:
         """Ids of a text without a table of chunks, as little-endian unsigned 32-bit integers."""

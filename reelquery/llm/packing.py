@@ -2,14 +2,19 @@
 
 A document is its ids followed by one end id.  Whole long windows of a
 document become sequences of their own; its remainder is routed to the
-smallest context tier that holds it.  When enough remainders wait, each tier
-is packed: a sequence is opened for the longest piece, its gap is filled
-with the best-fitting pieces of the tier and of shorter tiers, and what is
-still open is closed by cutting a waiting piece.  Only the end of a task has
-nothing left to cut; its last tokens become sequences whose lengths are
-powers of two, so no sequence is padded.
-
-Sequences of one tier are dealt to step groups of equally many tokens; a task's last groups are partial.
+smallest context tier that holds it, and waits in that tier's room.  When
+enough tokens wait, the tiers are packed from the longest down: a sequence is
+opened for the longest piece of the tier's room, and its gap is filled with
+the best-fitting pieces, of the tier itself where one fits and of shorter
+tiers otherwise.  A gap that no piece fits is closed by cutting the shortest
+piece that waits.  Only the end of a task has nothing left to cut: its last
+tokens become sequences of the shortest tier whose lengths are powers of two,
+so no sequence is padded.
+
+Step groups hold sequences of one tier and STEP_TOKENS tokens each.  The last
+two groups of a tier are held back until the task ends and share what is left
+evenly, so a group is never a mere rest unless the task has less than a group
+of that tier.
 
 All state is a bounded waiting room per task; there is no shuffle, and a
 rerun of a task gives the same rows, since sequence ids are built from the
@@ -18,9 +23,8 @@ task's partition number.
 
 from __future__ import annotations
 
-import os
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import TABLE_ENTRIES, default_vocabulary
+from .batchids import batch_ids
 from .common import docs_bytes
 
 TIERS = (256, 512, 1024, 2048)
@@ -43,135 +47,125 @@ PACKED = (
     "tier long, step_group long"
 )
 
-
-class LibraryIds:
-    """Ids of whole texts by the tokenizers library, chunk by chunk (see `bpe`).
-
-    The chunks that a text adds to the table are encoded in one call, with a
-    control character between them whose own id tells them apart.
-    """
-
-    BETWEEN = b"\x01"
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self._t = Tokenizer.from_file(path)
-        self._t.no_truncation()
-        self._t.no_padding()
-        self._chunks: dict[bytes, bytes] = {}
-        between = self._ids(self.BETWEEN.decode())
-        if len(between) != 1:
-            raise ValueError("the vocabulary has no id of its own for a control character")
-        self._between = between[0]
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _encoded(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        odd = {c for c in chunks if len(c) > 64 or self.BETWEEN in c}
-        short = list(chunks.difference(odd))
-        found = {c: self._ids(c.decode("utf-8", "replace")).tobytes() for c in odd}
-        if short:
-            ids = self._ids(b" \x01 ".join(short).decode("utf-8", "replace"))
-            raw, start = ids.tobytes(), 0
-            for chunk, end in zip(short, [*np.flatnonzero(ids == self._between).tolist(), len(ids)], strict=True):
-                found[chunk] = raw[4 * start : 4 * end]
-                start = end + 1
-        return found
-
-    def encode(self, text: bytes) -> bytes:
-        chunks = text.split()
-        new = set(chunks).difference(self._chunks)
-        if not new:
-            return b"".join(map(self._chunks.__getitem__, chunks))
-        # The text is joined before the table takes its chunks, so it needs nothing that a full table drops.
-        own = self._encoded(new)
-        out = b"".join([own[c] if c in own else self._chunks[c] for c in chunks])
-        if len(self._chunks) + len(own) > TABLE_ENTRIES:
-            self._chunks.clear()
-        if len(own) <= TABLE_ENTRIES:
-            self._chunks.update((c, i) for c, i in own.items() if len(c) <= 64 and self.BETWEEN not in c)
-        return out
-
-
-_libraries: dict[str, LibraryIds] = {}
-
-
-def library(path: str | None) -> LibraryIds:
-    path = path or default_vocabulary()
-    if path not in _libraries:
-        _libraries[path] = LibraryIds(path)
-    return _libraries[path]
+#: (length, doc, start, ids, doc_tokens)
+Piece = tuple[int, int | None, int, np.ndarray, int]
+
+
+class StepGroups:
+    """Deals a tier's sequences to groups of equally many tokens; the last two share the rest."""
+
+    def __init__(self, step_tokens: int) -> None:
+        self.step_tokens = step_tokens
+        self.held: list[tuple[int, list[tuple]]] = []  # (tokens, rows) of sequences that have no group yet
+        self.tokens = 0
+
+    def _take(self, tokens: int) -> list[tuple]:
+        """Rows of the first sequences, up to so many tokens, at least one sequence."""
+        rows, taken, n = [], 0, 0
+        for size, own in self.held:
+            if n and taken + size > tokens:
+                break
+            rows += own
+            taken += size
+            n += 1
+        del self.held[:n]
+        self.tokens -= taken
+        return rows
+
+    def add(self, tokens: int, rows: list[tuple]) -> Iterator[list[tuple]]:
+        """Takes a sequence; gives the rows of a group once two more groups are held."""
+        self.held.append((tokens, rows))
+        self.tokens += tokens
+        if self.tokens >= 2 * self.step_tokens:
+            yield self._take(self.step_tokens)
+
+    def rest(self) -> Iterator[list[tuple]]:
+        """What is held, as one group or as two even ones."""
+        if self.tokens > self.step_tokens:
+            yield self._take(self.tokens + 1 >> 1)
+        while self.held:
+            yield self._take(self.step_tokens)
 
 
 class Packer:
     """Packs pieces of one task; `rows` gathers the columns of PACKED."""
 
     def __init__(self, task: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> None:
-        self.tiers, self.step_tokens = tuple(sorted(tiers)), step_tokens
+        self.tiers = tuple(sorted(tiers))
         self.longest = self.tiers[-1]
         self.base, self.sequences, self.steps = task << 33, 0, 0
-        self.open_steps: dict[int, tuple[int, int]] = {}  # tier -> (group, tokens so far)
-        self.waiting: list[tuple[int, int, tuple]] = []  # (length, arrival, piece), ascending by length
-        self.arrivals = self.held = 0
+        #: Waiting pieces of each tier, ascending by length, and their lengths.
+        self.rooms: dict[int, list[Piece]] = {t: [] for t in self.tiers}
+        self.lengths: dict[int, list[int]] = {t: [] for t in self.tiers}
+        self.groups = {t: StepGroups(step_tokens) for t in self.tiers}
+        self.held = 0
         self.rows: list[tuple] = []
 
-    def _close(self, pieces: list[tuple], tier: int) -> None:
-        group, filled = self.open_steps.get(tier, (0, self.step_tokens))
-        if filled + tier > self.step_tokens:
-            group, filled = self.base + self.steps, 0
+    def _grouped(self, groups: Iterator[list[tuple]], tier: int) -> None:
+        for rows in groups:
+            group = self.base + self.steps
             self.steps += 1
-        self.open_steps[tier] = (group, filled + tier)
-        sequence, offset = self.base + self.sequences, 0
+            self.rows += [(*r, tier, group) for r in rows]
+
+    def _close(self, pieces: list[Piece], tier: int) -> None:
+        sequence, offset, rows = self.base + self.sequences, 0, []
         self.sequences += 1
-        for doc, start, ids, total in pieces:
-            n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, sequence, offset, tier, group))
+        for n, doc, start, ids, total in pieces:
+            rows.append((doc, start, n, zlib.crc32(ids), total, sequence, offset))
             offset += n
-
-    def _wait(self, piece: tuple) -> None:
-        n = len(piece[2]) // 4
-        insort(self.waiting, (n, self.arrivals, piece), key=lambda w: w[0])
-        self.arrivals += 1
-        self.held += n
-
-    def _take(self, at: int) -> tuple:
-        n, _, piece = self.waiting.pop(at)
-        self.held -= n
+        self._grouped(self.groups[tier].add(offset, rows), tier)
+
+    def _tier(self, n: int) -> int:
+        return self.tiers[bisect_left(self.tiers, n)]
+
+    def _wait(self, piece: Piece) -> None:
+        tier = self._tier(piece[0])
+        at = bisect_right(self.lengths[tier], piece[0])
+        self.lengths[tier].insert(at, piece[0])
+        self.rooms[tier].insert(at, piece)
+        self.held += piece[0]
+
+    def _take(self, tier: int, at: int) -> Piece:
+        piece = self.rooms[tier].pop(at)
+        del self.lengths[tier][at]
+        self.held -= piece[0]
         return piece
 
-    def add(self, doc: int | None, ids: bytes) -> None:
-        total, step = len(ids) // 4, self.longest * 4
-        whole = len(ids) - len(ids) % step
-        for at in range(0, whole, step):
-            self._close([(doc, at // 4, ids[at : at + step], total)], self.longest)
-        if whole < len(ids):
-            self._wait((doc, whole // 4, ids[whole:], total))
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        total = len(ids)
+        whole = total - total % self.longest
+        for at in range(0, whole, self.longest):
+            self._close([(self.longest, doc, at, ids[at : at + self.longest], total)], self.longest)
+        if whole < total:
+            self._wait((total - whole, doc, whole, ids[whole:].copy(), total))
         if self.held >= WAITING_TOKENS:
             self.flush()
 
-    def _cut(self, at: int, n: int) -> tuple:
-        """The first n tokens of a waiting piece; the rest waits on."""
-        doc, start, ids, total = self._take(at)
-        self._wait((doc, start + n, ids[4 * n :], total))
-        return doc, start, ids[: 4 * n], total
+    def _fit(self, gap: int, tier: int) -> Piece:
+        """The longest piece of the tier that fits the gap, else of shorter tiers, else a cut of the shortest piece."""
+        for t in reversed(self.tiers[: self.tiers.index(tier) + 1]):
+            at = bisect_right(self.lengths[t], gap) - 1
+            if at >= 0:
+                return self._take(t, at)
+        n, doc, start, ids, total = self._take(next(t for t in self.tiers if self.rooms[t]), 0)
+        self._wait((n - gap, doc, start + gap, ids[gap:], total))
+        return gap, doc, start, ids[:gap], total
 
     def flush(self, last: bool = False) -> None:
-        """Pack what waits, from the longest tier down; a short rest waits on unless it is the last."""
-        while self.held >= self.longest or last and self.waiting:
-            n = self.waiting[-1][0]
-            tier = next(t for t in self.tiers if t >= n)
-            while tier > self.held:  # only at the end: the largest power of two that can be filled
-                tier = 1 << self.held.bit_length() - 1
-            pieces, gap = [], tier
+        """Pack the tiers, the longest first; less than a longest window waits on unless it is the last."""
+        while self.held >= self.longest or last and self.held:
+            tier = size = next(t for t in reversed(self.tiers) if self.rooms[t])
+            while size > self.held:  # only at the end: the largest power of two that can be filled
+                size = 1 << self.held.bit_length() - 1
+                tier = self._tier(size)
+            pieces, gap = [], size
             while gap:
-                at = bisect_right(self.waiting, gap, key=lambda w: w[0]) - 1
-                piece = self._take(at) if at >= 0 else self._cut(0, gap)
-                pieces.append(piece)
-                gap -= len(piece[2]) // 4
+                pieces.append(self._fit(gap, tier))
+                gap -= pieces[-1][0]
             self._close(pieces, tier)
+        if last:
+            for tier in self.tiers:
+                self._grouped(self.groups[tier].rest(), tier)
 
     def drain(self) -> pa.RecordBatch:
         names = [c.split()[0] for c in PACKED.split(", ")]
@@ -192,14 +186,14 @@ def pack_documents(
     """
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library(vocabulary).encode
+        encoder = batch_ids(vocabulary)
         packer = Packer(TaskContext.get().partitionId(), tiers)
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                packer.add(doc, encode(text.as_py() or b"") + end)
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.texts(b.column(1)), strict=True):
+                packer.add(doc, np.concatenate([ids, end]))
                 if len(packer.rows) > 10_000:
                     yield packer.drain()
         packer.flush(last=True)

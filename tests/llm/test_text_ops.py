@@ -9,10 +9,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from reelquery.llm import bpe, chat, packing, pii, quality
+from reelquery.llm import batchids, bpe, chat, packing, pii, quality, words
 from reelquery.llm.template import FILTERS, Const, Output, TemplateError, compile_template, fold, parse, with_spans
 
 DOCS = "doc_id long, text string, n_words long, ids binary, h long"  # further columns clash with internal names
@@ -222,15 +223,70 @@ def test_em_recovers_planted_reliabilities():
     assert right / 4000 > 0.93
 
 
-def test_packing_encodes_a_text_of_more_chunks_than_the_table_holds(library, monkeypatch):
-    monkeypatch.setattr(packing, "TABLE_ENTRIES", 8)
-    encoder = packing.LibraryIds(public_tokenizers.path("word_bpe_49k.json"))
-    for text in ["the word", "the " + " ".join(f"chunk{i}" for i in range(50)) + " the", "a word \x01 " + "x" * 70, "chunk3 the word"]:
-        ids = library.encode(text, add_special_tokens=False).ids
-        assert encoder.encode(text.encode()) == struct.pack(f"<{len(ids)}I", *ids)
-        assert len(encoder._chunks) <= 8
+def test_batch_ids_with_a_small_table_equal_the_library(library, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [t or "" for t in awkward(6, 2000)] + ["a b c", "a d e f g h i j k l m n o a", "", "x y", "A a Á á"]
+    for entries, part in ((8, 1 << 22), (400_000, 64)):
+        monkeypatch.setattr(batchids, "PART_BYTES", part)
+        column = pa.array(["before".encode(), *(t.encode() for t in texts)], pa.binary())[1:]
+        encoder = batchids.BatchIds(path, entries)
+        got = [x.tolist() for x in encoder.texts(column)]
+        assert len(encoder._table) <= entries
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_chunks_of_equal_hash_keep_their_own_ids(library, monkeypatch):
+    monkeypatch.setattr(words.Words, "hashes", lambda self, fold: np.zeros(len(self.starts), np.uint64))
+    encoder = batchids.BatchIds(public_tokenizers.path("word_bpe_49k.json"))
+    (got,) = encoder.texts(pa.array([b"the cat sat the end"], pa.binary()))
+    assert got.tolist() == library.encode("the cat sat the end", add_special_tokens=False).ids
+
+
+def test_word_hashes():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aAbB \t\n\x0bé") for _ in range(rng.randint(0, 9))).encode() for _ in range(500)]
+    column = pa.array([*texts, b""], pa.binary())
+    seen: dict[int, bytes] = {}
+    for fold in (False, True):
+        found = []
+        for first, end, raw, offsets in words.parts(column, 100):
+            w = words.words_of(raw, offsets)
+            h, at = w.hashes(fold), w.bounds()
+            found += [h[at[i] : at[i + 1]].tolist() for i in range(end - first)]
+        assert len(found) == len(texts) + 1
+        for t, hashes in zip(texts, found, strict=False):
+            plain = (t.lower() if fold else t).split()
+            assert len(plain) == len(hashes)
+            for word, h in zip(plain, hashes, strict=True):
+                assert seen.setdefault(h, word) == word
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_tiers_and_step_groups():
+    rng = random.Random(9)
+    packer = packing.Packer(3, step_tokens=8192)
+    lengths = [rng.choice([3, 40, 200, 300, 700, 1500, 5000]) for _ in range(900)]
+    for i, n in enumerate(lengths):
+        packer.add(i, np.arange(n, dtype="<u4"))
+    packer.flush(last=True)
+    rows = packer.drain().to_pylist()
+    assert sum(r["length"] for r in rows) == sum(lengths)
+    sizes, tiers, groups = defaultdict(int), {}, defaultdict(int)
+    for r in rows:
+        sizes[r["sequence_id"]] += r["length"]
+        tiers[r["sequence_id"]] = r["tier"]
+        groups[r["tier"], r["step_group"]] += r["length"]
+    assert set(tiers.values()) <= set(packing.TIERS) and len({g for _, g in groups}) == len(groups)
+    short = [s for s, n in sizes.items() if n != tiers[s]]  # the end of the task
+    assert all(sizes[s] & (sizes[s] - 1) == 0 and tiers[s] == 256 for s in short) and len(short) <= 8
+    for tier in packing.TIERS:
+        tokens = [n for (t, _), n in groups.items() if t == tier]
+        if len(tokens) > 1:
+            assert max(tokens) <= 8192 and min(tokens) >= 4096 - tier
+    # a long sequence's gap is filled from shorter tiers
+    longest = [r for r in rows if r["tier"] == 2048 and r["length"] < 2048]
+    assert longest and min(r["length"] for r in longest) <= 256
+
 def test_a_long_clean_document_stays(spark):
     text = " ".join("the" if i % 5 == 0 else f"word{i}" for i in range(1_000_010))
     assert quality.keep_good(docs(spark, [text, "short"])).count() == 1
