@@ -56,15 +56,21 @@ def bit_filter(keys: DataFrame, key: str, n_bits: int) -> np.ndarray:
     return bits
 
 
-def with_bit(rows: DataFrame, key: Column, marks: DataFrame, n_bits: int) -> DataFrame:
-    """Rows whose bit is set in a `bit_table`, which is broadcast: n_bits bounds its size."""
+def bit_set(rows: DataFrame, key: Column, marks: DataFrame, n_bits: int, name: str) -> DataFrame:
+    """Adds a column: whether the key's bit is set in a `bit_table`, which is broadcast: n_bits bounds its size."""
     kept = rows.columns
     rows = rows.withColumn(P + "x", F.pmod(key, F.lit(n_bits)) + 1)
     rows = rows.withColumns({P + "b": F.expr(f"bitmap_bucket_number({P}x)"), P + "p": F.expr(f"bitmap_bit_position({P}x)")})
-    met = rows.join(F.broadcast(marks), F.col(P + "b") == F.col("bucket"))
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col(P + "p") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    marks = marks.select(F.col("bucket").alias(P + "bucket"), F.col("bits").alias(P + "bits"))
+    met = rows.join(F.broadcast(marks), F.col(P + "b") == F.col(P + "bucket"), "left")
+    byte = F.conv(F.hex(F.substring(P + "bits", F.floor(F.col(P + "p") / 8).cast("int") + 1, F.lit(1))), 16, 10)
     bit = F.pmod(F.floor(byte.cast("int") / F.pow(F.lit(2), F.col(P + "p") % 8)), F.lit(2))
-    return met.where(bit == 1).select(*kept)
+    return met.select(*kept, F.coalesce(bit == 1, F.lit(False)).alias(name))
+
+
+def with_bit(rows: DataFrame, key: Column, marks: DataFrame, n_bits: int) -> DataFrame:
+    """Rows whose key's bit is set (see `bit_set`)."""
+    return bit_set(rows, key, marks, n_bits, P + "set").where(P + "set").drop(P + "set")
 
 
 def docs_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,11 +5,14 @@ its transpose, in blocks, keeping only entries that can reach the threshold.
 
 1. Each text becomes a sorted array of 64-bit n-gram hashes; equal sets are
    one row of the matrix (its smallest doc_id).
-2. Sizes bound what a link must share: two sets that reach the threshold
-   share at least l of the first slack + l n-grams of each, in the common
-   order of the hashes.  Only these prefixes are shuffled; a row with too few
-   prefix n-grams that any other row has is discarded.
-3. The remaining rows meet in blocks.  A block is what shares a prefix n-gram
+2. Sizes bound in how many n-grams two linked sets can differ.  The range of
+   the hashes is cut into more segments than that, by a number that depends on
+   the size class of the smaller set, so linked sets agree in whole segments:
+   in as many as a link takes at least.  A row's segments become signatures,
+   several n-grams each, so chance and shared passages seldom meet in one.
+   Only signatures are shuffled; a row with too few that others have is
+   discarded.
+3. The remaining rows meet in blocks.  A block is what shares a signature
    whose most widely sharing row, the pivot, is the same.  In a block the
    product with the pivot comes first; rows that it links need not be held
    against each other, since only components are asked for.  Every other row
@@ -18,160 +21,292 @@ its transpose, in blocks, keeping only entries that can reach the threshold.
 4. Blocks of more than BLOCK_ROWS rows are split; rows left open by their own
    part meet the other parts, piece by piece.  No task holds more than two
    parts, and no pair is a row of a table: tasks return spanning links.
+
+Signatures and pivots that very many rows have are joined by a broadcast of
+at most HOT_KEYS rows, all others by a shuffle, so no key gathers in a task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, docs_bytes, materialise
+from . import words as W
+from .common import P, bit_filter, bit_set, bit_table, docs_bytes, materialise, with_bit
 from .components import connected
 
 #: Rows and n-grams of one part of a block, about, and open rows that meet a part at a time.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 BLOCK_GRAMS = 1 << 22
-OPEN_ROWS = 512
-#: Bits of the filter that spares texts of discarded rows from being read again: a fixed size, 1 MB.
+OPEN_ROWS = 256
+#: Bits of the filters that spare what has no partner from being shuffled: fixed sizes, 8 MB and 1 MB.
+SIGNATURE_BITS = 1 << 26
 FILTER_BITS = 1 << 23
+#: A key is hot if it has this many rows and one row in HOT_KEYS, so there are HOT_KEYS hot ones at most.
+HOT_ROWS, HOT_KEYS = 1024, 1 << 16
+#: Sizes of a class differ by this factor at most.
+CLASS_RATIO = 1.5
 
-M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; of a shorter text, of all its words; none without words."""
-    found = text.lower().split()  # bytes: lower case for A-Z, gaps are \x20 and \x09-\x0D
-    n = len(found)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, n)
-    k = min(words, n)
-    out = h[: n - k + 1] * M1
+# N-gram sets ---------------------------------------------------------------------
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... counts[i] of them, for each i."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _hash_runs(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k word hashes from each place on."""
+    out = h[at] * _M1
     for i in range(1, k):
-        out = (out ^ (out >> np.uint64(29))) * M2 + h[i : n - k + 1 + i] * M3
-    out ^= np.uint64(k)
-    out = (out ^ (out >> np.uint64(32))) * M1
-    return np.unique(out ^ (out >> np.uint64(29)))
+        out = (out ^ (out >> np.uint64(29))) * _M2 + h[at + i] * _M3
+    return W.mix(out ^ np.uint64(k))
+
 
+def sets_of_texts(column: pa.BinaryArray, words: int) -> Iterator[list[np.ndarray]]:
+    """Sorted distinct hashes of each text's word n-grams, a part of the column at a time.
 
-def slack(n, num: int, den: int):
-    """How many of n n-grams a linked set may lack: n - ceil(n * num / den)."""
-    return (den - num) * n // den
+    A text of fewer words has one n-gram, all of it; one without words none.
+    """
+    for _, _, raw, offsets in W.parts(column):
+        w = W.words_of(raw, offsets)
+        h, n, at = w.hashes(True), w.counts, w.bounds()
+        windows = np.maximum(n - words + 1, 0)
+        grams = _hash_runs(h, _runs(at[:-1], windows), words)
+        ends = np.cumsum(windows)
+        found = [grams[b - m : b] for b, m in zip(ends.tolist(), windows.tolist(), strict=True)]
+        for i in np.flatnonzero((n > 0) & (n < words)).tolist():
+            found[i] = _hash_runs(h, at[i : i + 1], int(n[i]))
+        yield [_distinct(x) for x in found]
 
 
-def shared_least(n, num: int, den: int):
-    """Prefix n-grams that two linked sets share, the smaller of them having n: one, and more for longer sets."""
-    return 1 + slack(n, num, den) * 2 // 3
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    again = x[1:] == x[:-1]
+    return x[np.append(True, ~again)] if again.any() else x
 
 
-def least_shared(num: int, den: int) -> str:
-    """SQL over n: `shared_least` of the smallest partner, which has ceil(n * num / den) n-grams."""
-    return f"1 + floor(floor(({den} - {num}) * ceil(n * {num} / {den}) / {den}) * 2 / 3)"
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The set of one text."""
+    return next(sets_of_texts(pa.array([text], pa.binary()), words))[0]
+
 
+# Signatures ----------------------------------------------------------------------
 
-INCIDENCE = "doc_id long, set_id binary, n long, prefix array<long>"
+
+@lru_cache(maxsize=65536)
+def class_of(n: int) -> tuple[int, int]:
+    """Smallest and largest size of the size class of n."""
+    low = 1
+    while True:
+        high = max(low, math.ceil(low * CLASS_RATIO) - 1)
+        if n <= high:
+            return low, high
+        low = high + 1
+
+
+@lru_cache(maxsize=4096)
+def segments(low: int, high: int, num: int, den: int) -> tuple[int, int, int]:
+    """(segments, empty ones allowed, signatures shared at least) of the pairs whose smaller set is in a class.
+
+    Linked sets a <= b have b <= a * den / num and differ in (a + b) * (den -
+    num) / (den + num) n-grams at most.  Each of these spoils one segment, so
+    at least `segments` less that many agree; of these, so many may be empty
+    as the emptier of the two rows has.  No segments: only equal sets link.
+    """
+    differ = (high + high * den // num) * (den - num) // (den + num)
+    if not differ:
+        return 0, 0, 0
+    least = 1 + min(3, low // 50)
+    empty = 1 + math.ceil(1.5 * (differ + least) * math.exp(-low / (differ + least)))
+    return differ + least + empty, empty, least
+
+
+@lru_cache(maxsize=65536)
+def classes(n: int, num: int, den: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(class's low, segments, empty allowed, shared least) of all pairs that a set of n can be in, as smaller or larger one."""
+    out, size = [], -(-n * num // den)
+    while size <= n:
+        low, high = class_of(size)
+        found = segments(low, high, num, den)
+        if found[0]:
+            out.append((low, *found))
+        size = high + 1
+    return tuple(out)
+
+
+def signatures(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
+    """Hashes of each set's segments; equal segments of one class have equal ones, and empty segments have none.
+
+    A row with more empty segments than allowed has its first n-grams as
+    signatures too: as many as linked sets need to share some of them.  A
+    pair that may agree in empty segments alone has two such rows.
+    """
+    asked = [classes(len(s), num, den) for s in sets]
+    out: list[list[np.ndarray]] = [[] for _ in sets]
+    for turn in range(max(map(len, asked), default=0)):
+        mine = [i for i, a in enumerate(asked) if len(a) > turn]
+        sizes = np.array([len(sets[i]) for i in mine], np.int64)
+        k = np.repeat(np.array([asked[i][turn][1] for i in mine], np.uint64), sizes)
+        low = np.array([asked[i][turn][0] for i in mine], np.uint64)
+        grams = np.concatenate([sets[i] for i in mine])
+        segment = (grams >> np.uint64(32)) * k >> np.uint64(32)
+        first = np.zeros(len(grams), bool)
+        first[1:] = segment[1:] != segment[:-1]
+        first[np.cumsum(sizes) - sizes] = True
+        at = np.flatnonzero(first)
+        owner = np.repeat(np.arange(len(mine)), sizes)[at]
+        signed = np.add.reduceat(W.mix(grams * _M3), at)
+        signed = W.mix(signed + segment[at] * _M1 + (low * _M2)[owner])
+        ends = np.searchsorted(owner, np.arange(len(mine) + 1)).tolist()
+        for j, i in enumerate(mine):
+            own = signed[ends[j] : ends[j + 1]]
+            out[i].append(own)
+            low_, k_, empty, least = asked[i][turn]
+            if len(own) < k_ - empty:
+                n = len(sets[i])
+                prefix = sets[i][: n - -(-n * num // den) + least]
+                out[i].append(W.mix(prefix ^ W.mix(np.array([low_], np.uint64))))
+    return [np.unique(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in out]
+
+
+INCIDENCE = "doc_id long, set_id binary, n long, least int, signatures array<long>"
 
 
 def incidence(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """One row per document: digest of its set, the set's size, and its prefix."""
+    """One row per document: digest of its set, the set's size, signatures a link takes at least, and its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, prefixes, offsets = [], [], [], [0]
-            for text in b.column(1):
-                s = shingles(text.as_py() or b"", words)
-                n = len(s)
-                ids.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sizes.append(n)
-                prefix = s[: slack(n, num, den) + shared_least(n, num, den)] if n else s
-                prefixes.append(prefix.view(np.int64))
-                offsets.append(offsets[-1] + len(prefix))
-            values = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(ids, pa.binary()),
-                    pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64())),
-                ],
-                ["doc_id", "set_id", "n", "prefix"],
-            )
+            first = 0
+            for sets in sets_of_texts(b.column(1), words):
+                signed = signatures(sets, num, den)
+                least = [min((c[3] for c in classes(len(s), num, den)), default=0) for s in sets]
+                offsets = np.append(0, np.cumsum([len(x) for x in signed])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(first, len(sets)),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(least, pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signed).view(np.int64))),
+                    ],
+                    ["doc_id", "set_id", "n", "least", "signatures"],
+                )
+                first += len(sets)
 
     return docs_bytes(docs).mapInArrow(run, INCIDENCE)
 
 
-def sharing_rows(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(gram, node, n, wide): prefix n-grams of rows that may have a link, where other such rows have them too.
+# Blocks --------------------------------------------------------------------------
+
 
-    `wide` is the share, in thousandths, of a row's prefix that others have.
+def one_per_set(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The row of each set whose doc_id is its smallest; only rows that may have equals are shuffled."""
+    again = firsts.where("c > 1")
+    marks = bit_table(again.select(F.xxhash64("set_id").alias("x")), "x", FILTER_BITS)
+    marked = bit_set(rows, F.xxhash64("set_id"), marks, FILTER_BITS, P + "again")
+    first = firsts.select(F.col("node").alias("doc_id"), "set_id")
+    met = marked.where(P + "again").join(first, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"])
+    return marked.where(~F.col(P + "again")).unionByName(met).drop(P + "again")
+
+
+def hot_keys(counts: DataFrame, key: str) -> DataFrame:
+    """Keys of a (key, c) table that have very many rows: HOT_KEYS at most."""
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    return counts.where(F.col("c") >= max(HOT_ROWS, total // HOT_KEYS)).select(key)
+
+
+def join_spread(rows: DataFrame, ones: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined with `ones` (unique in key): hot keys by broadcast, so their rows stay where they are; the rest by key."""
+    marked = rows.join(F.broadcast(hot.withColumn(P + "hot", F.lit(True))), key, "left")
+    few = ones.join(F.broadcast(hot), key, "left_semi")
+    rest = marked.where(F.col(P + "hot").isNull()).drop(P + "hot").join(ones, key)
+    return rest.unionByName(marked.where(F.col(P + "hot")).drop(P + "hot").join(F.broadcast(few), key))
+
+
+def sharing_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, node, n, least, wide): signatures of rows that may have a link, where other rows have them too; and the hot ones.
+
+    `wide` is the share, in thousandths, of a row's signatures that others have.
     """
-    postings = rows.select(F.col("doc_id").alias("node"), "n", F.size("prefix").alias("p"), F.explode("prefix").alias("gram"))
-    common = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    common = materialise(common.select("gram"), "common")
-    shared = materialise(postings.join(common, "gram"), "shared")
-    # A partner is no smaller than ceil(n * num / den), so neither is what it shares.
-    least = F.expr(least_shared(num, den))
+    exploded = rows.select(F.explode("signatures").alias("gram"))
+    common = materialise(exploded.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "common")
+    hot = materialise(hot_keys(common, "gram"), "hot")
+    bits = bit_filter(common, "gram", SIGNATURE_BITS)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(3).flatten().to_numpy(zero_copy_only=False)
+            sizes = np.array(pc.list_value_length(b.column(3)), np.int64)
+            bit = np.mod(flat, SIGNATURE_BITS)
+            at = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes)[at])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[at]), *(c.take(owner) for c in b.columns[:3]), pa.array(sizes.astype(np.int32)).take(owner)],
+                ["gram", "node", "n", "least", "p"],
+            )
+
+    postings = rows.select(F.col("doc_id").alias("node"), "n", "least", "signatures").mapInArrow(
+        kept, "gram long, node long, n long, least int, p int"
+    )
+    shared = materialise(join_spread(postings, common.select("gram"), "gram", hot), "shared")
     share = (F.count("*") * 1000 / F.max("p")).cast("int")
-    able = shared.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("c"), share.alias("wide"))
-    able = able.where(F.col("c") >= least).select("node", "wide")
-    shared = materialise(shared.select("gram", "node", "n", "p").join(able.select("node"), "node"), "able")
-    # Once more among what is left: passages shared with discarded rows alone count no longer.
-    common = shared.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = materialise(shared.join(common.select("gram"), "gram"), "again")
-    able = shared.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("c"), share.alias("wide"))
-    able = able.where(F.col("c") >= least).select("node", "n", "wide")
-    return materialise(shared.select("gram", "node").join(able, "node"), "sharing")
+    able = shared.groupBy("node").agg(F.count("*").alias("c"), F.max("least").alias("l"), share.alias("wide"))
+    able = able.where("c >= l").select("node", "wide")
+    return materialise(shared.drop("p").join(able, "node"), "sharing"), hot
 
 
-def blocks(sharing: DataFrame, num: int, den: int) -> DataFrame:
-    """(pivot, node, n) distinct: rows that share an n-gram, under the widest sharing row of that n-gram.
+def blocks(sharing: DataFrame, hot: DataFrame) -> DataFrame:
+    """(pivot, node, n) distinct: rows that share a signature, under the widest sharing row of that signature.
 
     A pivot that shares with a wider pivot as much as a link takes hands its
     block over, so the rows of a group of copies stand in one block rather than
-    in several; one that shares a passage alone keeps its own.
+    in several; one that shares less keeps its own.
     """
     best = F.max(F.struct("wide", (-F.col("node")).alias("minus")))
-    pivots = sharing.groupBy("gram").agg(best.alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    pivots = pivots.where("lo <> hi").select("gram", (-F.col("m.minus")).alias("pivot"), F.col("m.wide").alias("wide"))
-    members = sharing.select("gram", "node", "n").join(pivots, "gram").groupBy("pivot", "wide", "node", "n")
-    members = materialise(members.agg(F.count("*").alias("c")), "members")
-    rank = F.struct("wide", (-F.col("pivot")).alias("minus"))
-    near = members.where((F.col("c") >= F.expr(least_shared(num, den))) | (F.col("node") == F.col("pivot")))
+    pivots = sharing.groupBy("gram").agg(best.alias("m"), F.count("*").alias("c")).where("c > 1")
+    pivots = pivots.select("gram", (-F.col("m.minus")).alias("pivot"), F.col("m.wide").alias("head_wide"))
+    met = join_spread(sharing.drop("wide"), pivots, "gram", hot)
+    members = materialise(met.groupBy("pivot", "head_wide", "node", "n", "least").agg(F.count("*").alias("c")), "members")
+    rank = F.struct("head_wide", (-F.col("pivot")).alias("minus"))
+    near = members.where((F.col("c") >= F.col("least")) | (F.col("node") == F.col("pivot")))
     heads = near.join(members.select(F.col("pivot").alias("head")).distinct(), F.col("node") == F.col("head"), "left_semi")
     up = materialise(heads.groupBy("node").agg(F.max(rank).alias("m")).select("node", (-F.col("m.minus")).alias("up")), "up")
     higher = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
     up = up.join(higher, "up").select(F.col("node").alias("pivot"), "top")
-    return members.join(up, "pivot").select(F.col("top").alias("pivot"), "node", "n").distinct()
+    hot = hot_keys(members.groupBy("pivot").agg(F.count("*").alias("c")), "pivot")
+    moved = join_spread(members.select("pivot", "node", "n"), up, "pivot", materialise(hot, "hot"))
+    return moved.select(F.col("top").alias("pivot"), "node", "n").distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, grams): whole n-gram sets, as bytes, of the given documents (and of a few more)."""
-    bits = bit_filter(nodes.select(F.xxhash64("node").alias("x")), "x", FILTER_BITS)
+    """(node, grams): whole n-gram sets, as bytes, of the given documents."""
+    marks = bit_table(nodes.select(F.xxhash64("node").alias("x")), "x", FILTER_BITS)
+    texts = docs_bytes(docs).where("doc_id is not null")
+    texts = with_bit(texts, F.xxhash64("doc_id"), marks, FILTER_BITS)
+    texts = texts.join(nodes, texts["doc_id"] == nodes["node"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column(2).to_numpy()
-            kept = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            ids, text = b.column(0), b.column(1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array(kept)),
-                    pa.array([shingles(text[i].as_py() or b"", words).tobytes() for i in kept.tolist()], pa.binary()),
-                ],
-                ["node", "grams"],
-            )
+            first = 0
+            for sets in sets_of_texts(b.column(1), words):
+                grams = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), grams], ["node", "grams"])
+                first += len(sets)
 
-    return (
-        docs_bytes(docs)
-        .where("doc_id is not null")
-        .select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
-        .mapInArrow(run, "node long, grams binary")
-    )
+    return texts.mapInArrow(run, "node long, grams binary")
 
 
 class Links:
@@ -277,7 +412,9 @@ def links(docs: DataFrame, members: DataFrame, words: int, num: int, den: int, b
     sizes = members.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
     most = F.greatest(F.col("m") / block_rows, F.col("grams") / BLOCK_GRAMS)
     parts = sizes.select("pivot", F.ceil(most).cast("int").alias("parts"))
-    placed = members.join(parts, "pivot").select(
+    parts = materialise(parts, "parts")
+    hot = hot_keys(members.groupBy("pivot").agg(F.count("*").alias("c")), "pivot")
+    placed = join_spread(members, parts, "pivot", materialise(hot, "hot")).select(
         "pivot", "node", "parts", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("part")
     )
     sets = materialise(sets_of(docs, members.select("node").distinct(), words), "sets")
@@ -358,16 +495,14 @@ def jaccard_components(
     texts whose smallest doc_id is the same count as linked.  Extra columns
     are not read; an empty table gives no rows.
     """
-    all_rows = materialise(incidence(docs, words, num, den), "incidence")
-    usable = all_rows.where("doc_id is not null and n > 0")
-    firsts = materialise(usable.groupBy("set_id").agg(F.min("doc_id").alias("node")), "firsts")
-    ones = usable.join(firsts, (usable["doc_id"] == firsts["node"]) & (usable["set_id"] == firsts["set_id"]), "left_semi")
-    ones = materialise(ones.dropDuplicates(["doc_id", "set_id"]), "ones")
-    sharing = sharing_rows(ones, num, den)
-    members = materialise(blocks(sharing, num, den), "blocks")
+    rows = materialise(incidence(docs, words, num, den), "incidence")
+    all_rows = rows.select("doc_id", "set_id", "n")
+    usable = rows.where("doc_id is not null and n > 0")
+    firsts = materialise(usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")), "firsts")
+    members = materialise(blocks(*sharing_rows(one_per_set(usable.where("least > 0"), firsts))), "blocks")
     found = connected(links(docs, members, words, num, den, block_rows))
     of_set = firsts.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    return all_rows.select("doc_id", "set_id", "n").join(of_set, "set_id", "left").select(
+    return all_rows.join(of_set, "set_id", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"),
@@ -375,7 +510,11 @@ def jaccard_components(
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of `docs` that stand for their component (its smallest doc_id), and those without an id."""
+    """The rows of `docs` that stand for their component (its smallest doc_id), unchanged.
+
+    Rows without an id stay, as do texts without words.  Of rows that repeat
+    a doc_id, all stay if that id stands for any of their texts' components.
+    """
     found = jaccard_components(docs, words, num, den)
     stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("__rq_id")).distinct()
     return docs.join(stays, docs["doc_id"] == stays["__rq_id"], "left_semi").unionByName(docs.where("doc_id is null"))
