@@ -44,7 +44,7 @@ from .common import P, bit_filter, bit_set, bit_table, docs_bytes, materialise,
 from .components import connected
 
 #: Rows and n-grams of one part of a block, about, and open rows that meet a part at a time.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 BLOCK_GRAMS = 1 << 22
 OPEN_ROWS = 256
 #: Bits of the filters that spare what has no partner from being shuffled: fixed sizes, 8 MB and 1 MB.
@@ -291,22 +291,12 @@ def blocks(sharing: DataFrame, hot: DataFrame) -> DataFrame:
     return moved.select(F.col("top").alias("pivot"), "node", "n").distinct()
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, grams): whole n-gram sets, as bytes, of the given documents."""
-    marks = bit_table(nodes.select(F.xxhash64("node").alias("x")), "x", FILTER_BITS)
+def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows` with the text of their node: texts are shuffled, which are smaller than sets and compress."""
+    marks = bit_table(rows.select(F.xxhash64("node").alias("x")), "x", FILTER_BITS)
     texts = docs_bytes(docs).where("doc_id is not null")
     texts = with_bit(texts, F.xxhash64("doc_id"), marks, FILTER_BITS)
-    texts = texts.join(nodes, texts["doc_id"] == nodes["node"], "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            first = 0
-            for sets in sets_of_texts(b.column(1), words):
-                grams = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), grams], ["node", "grams"])
-                first += len(sets)
-
-    return texts.mapInArrow(run, "node long, grams binary")
+    return texts.select(F.col("doc_id").alias("node"), "text").join(rows, "node")
 
 
 class Links:
@@ -378,23 +368,24 @@ def link_part(nodes: np.ndarray, sets: list[np.ndarray], pivot: int, num: int, d
     return links.found, [int(nodes[i]) for i in range(len(sets)) if i not in held]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with equal first columns."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, words: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal first columns; the text, which is last, becomes its set."""
     key, held = None, []
     for b in batches:
-        columns = [c.to_pylist() for c in b.columns]
-        for row in zip(*columns, strict=True):
-            if row[:keys] != key:
+        columns = [c.to_pylist() for c in b.columns[:-1]]
+        sets = (x for some in sets_of_texts(b.column(b.num_columns - 1), words) for x in some)
+        for *row, grams in zip(*columns, sets, strict=True):
+            if tuple(row[:keys]) != key:
                 if held:
                     yield key, held
-                key, held = row[:keys], []
-            held.append(row[keys:])
+                key, held = tuple(row[:keys]), []
+            held.append((*row[keys:], grams))
     if held:
         yield key, held
 
 
 def _sets(rows: list[tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
-    return np.array([r[0] for r in rows], np.int64), [np.frombuffer(r[1], np.uint64) for r in rows]
+    return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
 
 
 FOUND = "a long, b long, open_part int"
@@ -417,21 +408,20 @@ def links(docs: DataFrame, members: DataFrame, words: int, num: int, den: int, b
     placed = join_spread(members, parts, "pivot", materialise(hot, "hot")).select(
         "pivot", "node", "parts", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("part")
     )
-    sets = materialise(sets_of(docs, members.select("node").distinct(), words), "sets")
     placed = materialise(placed, "placed")
     everywhere = placed.where("node = pivot").select(  # the pivot stands in every part
         "pivot", "node", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
-    rows = placed.where("node <> pivot").unionByName(everywhere).join(sets, "node")
+    rows = with_text(docs, placed.where("node <> pivot").unionByName(everywhere))
 
     def parts_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (pivot, part, parts), held in _groups(batches, 3):
+        for (pivot, part, parts), held in _groups(batches, 3, words):
             nodes, grams = _sets(held)
             edges, left = link_part(nodes, grams, pivot, num, den)
             yield _found(edges, [(pivot, x, part) for x in left] if parts > 1 else [])
 
     found = materialise(
-        rows.select("pivot", "part", "parts", "node", "grams")
+        rows.select("pivot", "part", "parts", "node", "text")
         .repartition("pivot", "part")
         .sortWithinPartitions("pivot", "part", "node")
         .mapInArrow(parts_, FOUND),
@@ -460,7 +450,7 @@ def links(docs: DataFrame, members: DataFrame, words: int, num: int, den: int, b
     )
 
     def pieces_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _groups(batches, 3):
+        for _, held in _groups(batches, 3, words):
             left = [r[1:] for r in held if r[0] == 0]
             right = [r[1:] for r in held if r[0] == 1]
             (a, mine), (b, others) = _sets(left), _sets(right)
@@ -471,9 +461,8 @@ def links(docs: DataFrame, members: DataFrame, words: int, num: int, den: int, b
             yield _found(across.found, [])
 
     more = (
-        asking.unionByName(asked)
-        .join(sets, "node")
-        .select("pivot", "part", "piece", "side", "node", "grams")
+        with_text(docs, asking.unionByName(asked))
+        .select("pivot", "part", "piece", "side", "node", "text")
         .repartition("pivot", "part", "piece")
         .sortWithinPartitions("pivot", "part", "piece", "side", "node")
         .mapInArrow(pieces_, FOUND)
