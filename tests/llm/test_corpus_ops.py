@@ -238,54 +238,108 @@ def test_pseudo_likelihood(spark):
         words = t.split()
         rng.shuffle(words)
         broken.append((i + 1000, " ".join(words)))
-    words = lmscore.tokenised(docs(spark, rows))
-    model = lmscore.train(words, rounds=6)
-    held_out = docs(spark, [*test, *broken, (5000, None), (5001, ""), (None, "the n1")])
-    got = {r["doc_id"]: r for r in lmscore.score(lmscore.tokenised(held_out), model).collect()}
+    model = lmscore.train(docs(spark, rows), rounds=6, step_size=256)
+    held_out = docs(spark, [*test, *broken, (5000, None), (5001, ""), (None, "the n1"), (5002, "The N1"), (5002, "The N1")])
+    rows = lmscore.score(held_out, model).collect()
+    got = {r["doc_id"]: r for r in rows}
     mean = lambda part: np.mean([got[i]["per_word"] for i, _ in part])
     assert mean(test) > mean(broken) + 0.3
     assert got[5000]["n_words"] == 0 and got[5001]["log_likelihood"] == 0 and got[5001]["per_word"] is None
-    assert got[None]["n_words"] == 2
-    near, centre = lmscore.windows([np.array([1, 2, 3])])
-    total = sum(np.exp(lmscore.log_probabilities(model, near[:1], np.array([c]))[0]) for c in range(lmscore.VOCABULARY))
-    assert abs(total - 1) < 1e-3 and near[0].tolist() == [lmscore.PAD, lmscore.PAD, 2, 3]
-    empty = lmscore.pseudo_likelihood(docs(spark, rows).where("false"))
-    assert empty.count() == 0
-
-
-def test_rare_words_do_not_score_as_frequent_ones(spark):
-    bucket = lambda w: xxhash.xxh3_64_intdigest(w.encode()) % 1024
-    # The same remainder, so that any table of 1,024 hashed ids takes the two words for one.
-    rare = next(w for w in (f"q{i}" for i in range(10**6)) if bucket(w) == bucket("the"))
+    assert got[None]["n_words"] == 2 and abs(got[5002]["log_likelihood"] - got[None]["log_likelihood"]) < 1e-4
+    assert len(rows) == 45
+    long_ = " ".join(["the n1 v1 a"] * 150_000)  # longer than a part
+    found = lmscore.score(docs(spark, [(1, long_)]), model).first()
+    assert found["n_words"] == 600_000 and -3 < found["per_word"] < 0
+    empty = lmscore.pseudo_likelihood(held_out.where("false"))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "n_words", "log_likelihood", "per_word"]
+
+
+def plain_probability(p, b, near, centre):
+    """The network written out for one word."""
+    h = np.tanh(p["hidden"].astype(float) + sum(p["embed"][k][x].astype(float) for k, x in enumerate(near)))
+    h = np.append(h, 1.0)
+    out = 1.0
+    for w, i in ((p["branch"], centre // (b * b)), (p["twig"][centre // (b * b)], centre // b % b), (p["leaf"][centre // b], centre % b)):
+        z = np.exp(h @ w.astype(float))
+        out *= z[i] / z.sum()
+    return out
+
+
+def test_network_against_plain_version():
+    b, rng = 3, np.random.default_rng(5)
+    flat = rng.normal(0, 0.5, sum(int(np.prod(x)) for x in lmscore.shapes(b).values())).astype(np.float32)
+    ids, bounds = rng.integers(0, 27, 40), np.array([0, 1, 1, 15, 40])
+    near = lmscore.windows(ids, bounds, 27)
+    for i in range(40):  # neighbours: of the same text, or 27
+        a, e = next((a, e) for a, e in zip(bounds, bounds[1:], strict=False) if a <= i < e)
+        assert near[:, i].tolist() == [ids[j] if a <= j < e else 27 for j in (i - 2, i - 1, i + 1, i + 2)]
+    p = lmscore.split(flat, b)
+    plain = np.log([plain_probability(p, b, near[:, i], ids[i]) for i in range(40)])
+    assert np.allclose(lmscore.log_probabilities(flat, b, near, ids), plain, atol=1e-5)
+    total = sum(np.exp(lmscore.log_probabilities(flat, b, near[:, :1], np.array([c]))[0]) for c in range(27))
+    assert abs(total - 1) < 1e-5
+    # The step is along the gradient of the mean log-probability, taken by differences.
+    after = flat.copy()
+    lmscore.step(after, b, near, ids, 1.0)
+
+    def mean(x):
+        q = lmscore.split(x, b)
+        return np.mean(np.log([plain_probability(q, b, near[:, i], ids[i]) for i in range(40)]))
+
+    place = lmscore.split(np.arange(len(flat)), b)
+    rates = [(set(x.ravel().tolist()), lmscore.FASTER.get(name, 1.0)) for name, x in place.items()]
+    for at in rng.choice(len(flat), 60, replace=False):
+        up, down = flat.astype(float), flat.astype(float)
+        up[at] += 1e-4
+        down[at] -= 1e-4
+        rate = next(r for n, r in rates if at in n)
+        assert abs((mean(up) - mean(down)) / 2e-4 - (after[at] - flat[at]) / rate) < 2e-4
+
+
+def test_rare_words_do_not_score_as_frequent_ones(spark, monkeypatch):
     rng = random.Random(11)
-    line = lambda: " ".join(rng.choice(["the", "a", "of", f"w{rng.randrange(3000)}"]) for _ in range(60))
-    rows = [(i, line()) for i in range(400)] + [(1000, "a the of the a"), (1001, f"a the of {rare} a")]
-    words = lmscore.tokenised(docs(spark, rows))
-    model = lmscore.train(words)
-    got = {r["doc_id"]: r["log_likelihood"] for r in lmscore.score(words, model).collect()}
-    assert got[1000] > got[1001] + 2
+    line = lambda: " ".join(rng.choice(["the", "a", "of", f"w{int(3000 * rng.random() ** 2)}"]) for _ in range(60))
+    rows = [(i, line()) for i in range(400)] + [(1000, "a the of the a"), (1001, "a the of zebra a"), (1002, "a the of w1 a")]
+    whole = lmscore.train(docs(spark, rows))
+    full = {r["doc_id"]: r["log_likelihood"] for r in lmscore.score(docs(spark, rows), whole).collect()}
+    assert full[1000] > full[1001] + 2
     # Every distinct word counts, and the words of a place have probabilities that sum to one.
     plain = {}
     for _, t in rows:
         for w in t.split():
             plain[w] = plain.get(w, 0) + 1
-    counts = {r["h"]: r["n"] for r in lmscore.count_words(words).collect()}
-    assert sorted(counts.values()) == sorted(plain.values())
-    known, h = model.vocabulary, np.array(list(counts), np.int64)
-    ids, total = known.ids(h), np.zeros(known.classes**2)
-    np.add.at(total, ids, [counts[x] for x in h.tolist()])
+    h = np.concatenate([lmscore.hashes_of(w) for w in plain])
+    n = np.array(list(plain.values()))
+    counts = {r["h"]: r["n"] for r in lmscore.count_words(docs(spark, rows)).collect()}
+    assert counts == dict(zip(h.view(np.int64).tolist(), n.tolist(), strict=True))
+    known = whole.vocabulary
+    ids, total = known.ids(h), np.zeros(known.branches**3)
+    np.add.at(total, ids, n)
     assert total.tolist() == known.totals.tolist()
     assert len(set(ids[ids < known.first_unknown].tolist())) == int((ids < known.first_unknown).sum())
-    assert {counts[x] for x in h[ids >= known.first_unknown].tolist()} >= {1}
+    assert {n[i] for i in np.flatnonzero(ids >= known.first_unknown)} >= {1}
+    shares, unsure = known.shares(h, ids)
+    assert all(n[i] < known.below for i in unsure)
+    assert np.allclose(np.bincount(ids, np.exp(shares), len(total))[total > 0], 1)
+    # The same scores where most counts are joined instead of known.
+    monkeypatch.setattr(lmscore, "KNOWN_WORDS", 1400)
+    few = lmscore.train(docs(spark, rows))
+    assert 0 < len(few.vocabulary.known) < len(known.known) and few.counts.count() > 0
+    assert np.array_equal(few.flat, whole.flat)
+    joined = {r["doc_id"]: r["log_likelihood"] for r in lmscore.score(docs(spark, rows), few).collect()}
+    assert all(abs(joined[i] - full[i]) < 1e-6 for i in full)
 
 
 def test_model_and_training_grow_with_the_corpus(spark, monkeypatch):
-    assert lmscore.classes_for(10**8) ** 2 >= 10**4 > lmscore.VOCABULARY
-    assert lmscore.turns_for(10**7) > 2 * lmscore.turns_for(10**6) > lmscore.turns_for(1000) == 1
-    monkeypatch.setattr(lmscore, "SHARE_TEXTS", 8)
+    assert lmscore.branches_for(10**8) ** 3 >= 10**4 > lmscore.BRANCHES**3 == lmscore.branches_for(1000) ** 3
+    assert lmscore.turns_for(10**4) > 2 * lmscore.turns_for(10**3) > lmscore.turns_for(1) == 1
+    monkeypatch.setattr(lmscore, "SHARE_WORDS", 64)
     ran = []
     moves = lmscore._moves
-    monkeypatch.setattr(lmscore, "_moves", lambda texts, *rest: ran.append(texts.count()) or moves(texts, *rest))
-    words = lmscore.tokenised(docs(spark, [(i, f"a b c w{i % 7}") for i in range(400)]))
-    lmscore.train(words, rounds=1)
-    assert len(ran) == lmscore.turns_for(400) > 1 and sum(ran) == 400
+    monkeypatch.setattr(lmscore, "_moves", lambda part, *rest: ran.append(part.count()) or moves(part, *rest))
+    rows = [(i, f"a b c w{i % 7}") for i in range(400)]
+    model = lmscore.train(docs(spark, rows), rounds=1)
+    assert len(ran) == lmscore.turns_for(25) > 1 and sum(ran) >= 20
+    # The same parameters to the last bit, however the rows are split.
+    again = lmscore.train(docs(spark, rows[::-1]).repartition(7), rounds=1)
+    assert np.array_equal(model.flat, again.flat)
