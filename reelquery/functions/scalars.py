@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,31 +52,27 @@ def cache_key(*parts: Column) -> Column:
 
 
 def voc_xml(name: Column, width: int = 1920, height: int = 1080) -> Column:
-    """A Pascal VOC annotation without objects; the name is escaped."""
+    """A Pascal VOC annotation without objects (a fixed form); the name is escaped."""
     safe = F.replace(F.replace(F.replace(name, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     form = (
-        "<annotation><filename>%s</filename>"
-        f"<size><width>{width}</width><height>{height}</height><depth>3</depth></size></annotation>"
+        "<annotation><folder></folder><filename>%s</filename>"
+        f"<size><width>{width}</width><height>{height}</height><depth>3</depth></size><segmented>0</segmented></annotation>"
     )
     return F.format_string(form, safe)
 
 
 def resolve_classes(names: dict[int, str], spec: str | None) -> list[int] | None:
-    """Sorted ids for a list of names or ids; None for an empty one (all classes)."""
-    if not spec or not spec.strip():
-        return None
-    by_name = {v: k for k, v in names.items()}
-    found = set()
-    for item in (s.strip() for s in spec.split(",")):
-        if not item:
-            continue
-        if item in by_name:
-            found.add(by_name[item])
-        elif item.lstrip("-").isdigit() and int(item) in names:
-            found.add(int(item))
-        else:
-            raise ValueError(f"unknown class {item!r}; known: {sorted(by_name)}")
-    return sorted(found) or None
+    """Sorted distinct ids of a comma-separated list of ids and names; None, for all classes, if it holds neither.
+
+    A number that is an id stands for it, even where a class bears it as its name.
+    """
+    wanted = [x for x in map(str.strip, (spec or "").split(",")) if x]
+    known = {name: i for i, name in names.items()} | {str(i): i for i in names}
+    numbers = {x: int(x) for x in wanted if re.fullmatch(r"-?[0-9]+", x)}
+    ids = {x: numbers[x] if numbers.get(x) in names else known.get(x) for x in wanted}
+    if unknown := sorted(x for x, i in ids.items() if i is None):
+        raise ValueError(f"unknown class {', '.join(map(repr, unknown))}; known: {sorted(names.values())}")
+    return sorted(set(ids.values())) or None
 
 
 def step_confidence(conf: Column, up: bool) -> Column:

@@ -159,26 +159,29 @@ def active_event(points: DataFrame, events: DataFrame, by: str = "video", cell:
     laid = numbered_events(events, by).withColumn(
         "__rq_cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell)))
     )
-    hit = points.withColumn("__rq_cell", F.floor(F.col("idx") / cell)).join(laid, [by, "__rq_cell"])
-    hit = hit.where(F.col("idx").between(F.col("start"), F.col("end")))
-    first = F.min(F.struct("n", "start", "end", "label", "of")).alias("e")
-    return hit.groupBy(*points.columns).agg(first).select(*points.columns, "e.start", "e.end", "e.label", "e.n", "e.of")
+    places = points.select(by, "idx").distinct().withColumn("__rq_cell", F.floor(F.col("idx") / cell))
+    hit = places.join(laid, [by, "__rq_cell"]).where(F.col("idx").between(F.col("start"), F.col("end")))
+    first = hit.groupBy(by, "idx").agg(F.min(F.struct("n", "start", "end", "label", "of")).alias("__rq_e"))
+    # Points that repeat one another stay as many as they are.
+    met = points.join(first, [by, "idx"])
+    return met.select(*[points[c] for c in points.columns], *[F.col(f"__rq_e.{c}") for c in ("start", "end", "label", "n", "of")])
 
 
 def next_start(points: DataFrame, starts: DataFrame, by: str = "video", backward: bool = False) -> DataFrame:
     """Adds target and wrapped: the nearest start strictly after (before) idx, else the first (last) one.
 
-    Points and starts are sorted once per video; no pair is formed.
+    Points and starts are sorted once per video, from the far end, and each
+    point takes the last start met so far: one running value, no pairs.
     """
     sign = -1 if backward else 1
     marks = starts.select(by, (sign * F.col("start")).cast("bigint").alias("__rq_x"))
     both = points.withColumns({"__rq_x": (sign * F.col("idx")).cast("bigint"), "__rq_s": F.lit(None).cast("bigint")})
     both = both.unionByName(marks.withColumn("__rq_s", F.col("__rq_x")), allowMissingColumns=True)
-    # A point comes after the starts of its own index, so these are not ahead of it.
-    w = Window.partitionBy(by).orderBy("__rq_x", F.col("__rq_s").isNull())
+    # A point comes before the starts of its own index, so these are not ahead of it.
+    w = Window.partitionBy(by).orderBy(F.desc("__rq_x"), F.col("__rq_s").isNull().desc())
     both = both.withColumns(
         {
-            "__rq_ahead": F.first("__rq_s", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+            "__rq_ahead": F.last("__rq_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
             "__rq_first": F.min("__rq_s").over(Window.partitionBy(by)),
         }
     ).where("__rq_s is null")
@@ -207,8 +210,8 @@ def next_detection(
     seen = seen.select(by, mirror(F.col("frame")).cast("bigint").alias("__rq_x"))
     both = probes.withColumns({"__rq_x": mirror(F.col("idx")).cast("bigint"), "__rq_f": F.lit(None).cast("bigint")})
     both = both.unionByName(seen.withColumn("__rq_f", F.col("__rq_x")), allowMissingColumns=True)
-    w = Window.partitionBy(by, F.pmod("__rq_x", F.lit(stride))).orderBy("__rq_x", F.col("__rq_f").isNull())
-    ahead = F.first("__rq_f", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    w = Window.partitionBy(by, F.pmod("__rq_x", F.lit(stride))).orderBy(F.desc("__rq_x"), F.col("__rq_f").isNull().desc())
+    ahead = F.last("__rq_f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     found = both.withColumn("__rq_ahead", ahead).where("__rq_f is null")
     restart = seen.where(F.col("__rq_x") % stride == 0).groupBy(by).agg(F.min("__rq_x").alias("__rq_again"))
     most = F.ceil((F.lit(limit) if limit else F.col("total")) / stride)

@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+P = "__rq_"
+
 
 def latency_summary(samples: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """median, p90, least, per_second: p90 is the sorted sample at index int(0.9 n), per_second 1000 / median."""
-    agg = [
-        F.count(value).alias("n"),
-        F.median(value).alias("median"),
-        F.sort_array(F.collect_list(value)).alias("__rq_all"),
-        F.min(value).alias("least"),
-    ]
-    out = samples.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(*agg)
-    at = F.least(F.floor(F.col("n") * 0.9), F.col("n") - 1).cast("int")
-    return out.withColumn("p90", F.get("__rq_all", at)).withColumn(
-        "per_second", 1000 / F.when(F.col("median") > 0, F.col("median"))
-    ).drop("__rq_all")
+    """median, p90, least, per_second: p90 is the sorted sample at index int(0.9 n), per_second 1000 / median.
+
+    Samples are counted per value before they are ordered, and the order is
+    a running count, so no group is gathered.
+    """
+    by = by or []
+    x, n, c, upto = (P + k for k in ("x", "n", "c", "upto"))
+    keys = [F.col(k).alias(P + k) for k in by]
+    held = samples.where(F.col(value).isNotNull())
+    counts = held.groupBy(*keys, F.col(value).alias(x)).agg(F.count("*").alias(c))
+    totals = held.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.min(value).alias("least"))
+    order = Window.partitionBy(*[P + k for k in by]).orderBy(x)
+    running = counts.withColumn(upto, F.sum(c).over(order))
+    same = [totals[k].eqNullSafe(F.col(P + k)) for k in by]
+    met = totals.where("n > 0").join(running, reduce(lambda a, b: a & b, same, F.lit(True)))
+    at = F.least(F.floor(F.col("n") * 0.9), F.col("n") - 1)
+    found = met.where(F.col(upto) > at).groupBy(*by, "n", "median", "least").agg(F.min(x).alias("p90"))
+    return found.select(*by, "n", "median", "least", "p90", (1000 / F.when(F.col("median") > 0, F.col("median"))).alias("per_second"))
 
 
 def stage_means(samples: DataFrame, stages: str = "stages") -> DataFrame:

@@ -142,7 +142,7 @@ def cache_key(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """SELECT n_nationkey, coalesce(nullif(CASE WHEN n_regionkey = 0 THEN n_name ELSE '' END, ''), nullif(CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE '' END, ''), 'file') AS value,
     replace(n_name || ' key=AMER', 'AMER', '<redacted>') AS scrubbed,
-    '<annotation><filename>' || n_name || '.jpg</filename><size><width>1920</width><height>1080</height><depth>3</depth></size></annotation>' AS xml,
+    '<annotation><folder></folder><filename>' || n_name || '.jpg</filename><size><width>1920</width><height>1080</height><depth>3</depth></size><segmented>0</segmented></annotation>' AS xml,
     n_name LIKE 'A%' AS yes FROM nation"""
 )
 def settings(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +157,7 @@ def settings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, trim(l) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, 10000)) AS i FROM documents) WHERE l IS NOT NULL AND trim(l) <> '' AND trim(l) NOT LIKE '#%' AND trim(l) NOT LIKE '-%'"
+    "SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, trim(l) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE l IS NOT NULL AND trim(l) <> '' AND trim(l) NOT LIKE '#%' AND trim(l) NOT LIKE '-%'"
 )
 def url_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "l"))
@@ -591,7 +591,7 @@ def _scan_sql(backward: bool) -> str:
     return f"""WITH {USER_EVENTS}, t AS (SELECT video, count(*) AS total FROM ue GROUP BY video),
     p AS (SELECT event_id, ue.video, total, idx AS x FROM ue JOIN t ON ue.video = t.video WHERE event_type = 'signup'),
     w AS (SELECT event_id, video, list_slice({walk}, 1, CAST(ceil(total / 3.0) AS BIGINT)) AS c FROM p),
-    u AS (SELECT event_id, video, unnest(c) AS f, unnest(range(1, 99999)) AS pos FROM w),
+    u AS (SELECT event_id, video, unnest(c) AS f, unnest(range(1, len(c) + 1)) AS pos FROM w),
     h AS (SELECT u.event_id, arg_min(u.f, u.pos) AS target FROM u JOIN ue ON u.video = ue.video AND u.f = ue.idx AND ue.event_type = 'purchase' GROUP BY u.event_id)
     SELECT p.event_id, h.target FROM p LEFT JOIN h ON p.event_id = h.event_id"""
 

@@ -11,7 +11,7 @@ import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -47,9 +47,13 @@ def record_names(spark: SparkSession, path: str, new: DataFrame) -> None:
     jvm = spark.sparkContext._jvm
     fs_path = jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if exists(spark, path):
-        fs.delete(fs_path(path), True)
-    fs.rename(fs_path(beside), fs_path(path))
+    # The old list stays, under another name, until the new one is in its place.
+    old = fs_path(f"{beside}.old")
+    if exists(spark, path) and not fs.rename(fs_path(path), old):
+        raise OSError(f"cannot put {path} aside")
+    if not fs.rename(fs_path(beside), fs_path(path)):
+        raise OSError(f"cannot put {beside} in the place of {path}")
+    fs.delete(old, True)
 
 
 def copy_plan(manifest: DataFrame, frames: DataFrame, dest: str, empty_labels: bool) -> DataFrame:
@@ -66,40 +70,59 @@ def copy_plan(manifest: DataFrame, frames: DataFrame, dest: str, empty_labels: b
     )
 
 
+def _absent(value: object) -> bool:
+    """Whether a field is null: pandas gives None or a NaN."""
+    return value is None or value != value
+
+
 def _local(path: str) -> str:
     return path.removeprefix("file:")
 
 
-def _copy(row: Row) -> None:
+def _copy(row: dict) -> None:
+    if _absent(row["src"]):
+        raise FileNotFoundError("no source")
     os.makedirs(os.path.dirname(_local(row["dst"])), exist_ok=True)
     shutil.copy2(_local(row["src"]), _local(row["dst"]))
-    if row["label"]:
+    if not _absent(row["label"]):
         os.makedirs(os.path.dirname(_local(row["label"])), exist_ok=True)
         open(_local(row["label"]), "w").close()
 
 
-def _rewrite(row: Row) -> None:
-    with open(_local(row["path"]), "w", encoding="utf-8") as f:
-        f.write(row["text"])
+def _rewrite(row: dict) -> None:
+    """Writes beside the file and puts that in its place; a file without a new text is left as it is."""
+    if _absent(row["text"]):
+        raise ValueError("no text to write; the file stays as it is")
+    path = _local(row["path"])
+    beside = f"{path}.{uuid.uuid4().hex}"
+    try:
+        with open(beside, "w", encoding="utf-8") as f:
+            f.write(row["text"])
+        os.replace(beside, path)
+    finally:
+        if os.path.exists(beside):
+            os.remove(beside)
 
 
-def _move(row: Row) -> None:
+def _move(row: dict) -> None:
     if os.path.exists(_local(row["src"])):
         os.makedirs(os.path.dirname(_local(row["dst"])), exist_ok=True)
         os.replace(_local(row["src"]), _local(row["dst"]))
 
 
-def _delete(row: Row) -> None:
+def _delete(row: dict) -> None:
     if os.path.exists(_local(row["path"])):
         os.remove(_local(row["path"]))
 
 
-ACTIONS: dict[str, Callable[[Row], None]] = {"copy": _copy, "rewrite": _rewrite, "move": _move, "delete": _delete}
+ACTIONS: dict[str, Callable[[dict], None]] = {"copy": _copy, "rewrite": _rewrite, "move": _move, "delete": _delete}
 
 
 def carry_out(plan: DataFrame, action: str) -> DataFrame:
     """Run a plan's rows on the executors, each on its own: ok and error per row; a failed row stops no other.
 
+    A row without what its action needs (a null src, dst, path or text) fails
+    and touches no file; a null label writes none.
     Paths must be on a file system that all executors share.
     """
     act = ACTIONS[action]
@@ -113,7 +136,7 @@ def carry_out(plan: DataFrame, action: str) -> DataFrame:
                 try:
                     act(row)
                     errors.append(None)
-                except OSError as e:
+                except Exception as e:  # whatever fails, fails for its row alone
                     errors.append(f"{type(e).__name__}: {e}"[:200])
             yield pd.DataFrame({"ok": [e is None for e in errors], "error": pd.Series(errors, dtype=object)})
 

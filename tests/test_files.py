@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelquery.functions import images, infer
 from reelquery.operators import scores
-from reelquery.sources import files, remote, settings, sinks
+from reelquery.sources import files, remote, settings, sinks, writers
 from reelquery.streaming import ingest
 
 
@@ -124,6 +124,57 @@ def test_search_source(spark, tmp_path):
     assert read().where("id = '7'").first()["annotations"]["classes"] == {"x": 7}
 
 
+def test_search_reads_to_the_end(spark, tmp_path):
+    path = str(tmp_path / "records.jsonl")
+    put(path, "\n".join(json.dumps({"id": str(i), "name": f"n{i}"}) for i in range(250)))
+    spark.dataSource.register(remote.SearchSource)
+    read = lambda **o: spark.read.format("image_search").options(path=path, **o).load()
+    for found in (read(), read(total=120), read(total=1000), read(total=0)):
+        assert sorted(int(r["id"]) for r in found.collect()) == list(range(250))
+    assert read(fields="id").where("name is not null").count() == 0
+    put(path, "")
+    assert read().count() == 0
+
+
+def test_failed_rows_touch_no_file(spark, tmp_path):
+    label, picture = str(tmp_path / "a.txt"), str(tmp_path / "p.jpg")
+    put(label, "0 0.5 0.5 0.1 0.1\n")
+    put(picture, "x")
+    plan = spark.createDataFrame([(label, None), (str(tmp_path / "b.txt"), "new"), (None, "t")], "path string, text string")
+    done = sinks.carry_out(plan.coalesce(1), "rewrite").collect()
+    assert [r["ok"] for r in done] == [False, True, False] and all(r["error"] for r in done if not r["ok"])
+    assert open(label).read() == "0 0.5 0.5 0.1 0.1\n" and open(tmp_path / "b.txt").read() == "new"
+    copies = [(None, str(tmp_path / "out/q.jpg"), None), (picture, str(tmp_path / "out/p.jpg"), str(tmp_path / "out/p.txt"))]
+    done = sinks.carry_out(spark.createDataFrame(copies, "src string, dst string, label string").coalesce(1), "copy").collect()
+    assert [r["ok"] for r in done] == [False, True] and sorted(os.listdir(tmp_path / "out")) == ["p.jpg", "p.txt"]
+    assert sorted(os.listdir(tmp_path)) == ["a.txt", "b.txt", "out", "p.jpg"]
+
+
+def test_remote_writers(spark, tmp_path):
+    path, log, picture = str(tmp_path / "r.jsonl"), str(tmp_path / "log"), str(tmp_path / "a.jpg")
+    put(path, json.dumps({"id": "1", "annotation": {"boxes": [{"type": "polygon"}]}}) + "\n")
+    put(picture, "x")
+    options = {"path": path, "log": log, "key": "K1"}
+    jobs = spark.createDataFrame([("a.jpg", picture, "train"), ("b.jpg", "/nowhere/K1/b.jpg", "valid")], "name string, path string, split string")
+    sent = {r["name"]: r for r in writers.upload(jobs, options, "batch", ["t"]).collect()}
+    assert sent["a.jpg"]["ok"] and not sent["b.jpg"]["ok"] and "K1" not in sent["b.jpg"]["error"]
+    assert sorted(map(tuple, writers.jobs_per_split(jobs).collect())) == [("train", 1), ("valid", 1)]
+    images = spark.createDataFrame([("1", "x&y.jpg"), ("2", "z.jpg")], "id string, name string")
+    assert [r["ok"] for r in writers.mark_null(images, options).collect()] == [True, True]
+    actions = spark.createDataFrame([("1", "add")], "id string, op string")
+    assert writers.set_tags(actions, options, ["done"]).first()["ok"]
+    calls = [json.load(open(os.path.join(log, f))) for f in os.listdir(log)]
+    assert sorted(c["call"] for c in calls) == ["annotation", "annotation", "tags", "upload"]
+    null = next(c for c in calls if c.get("name") == "x&y.xml")
+    assert null["text"] == (
+        "<annotation><folder></folder><filename>x&amp;y.jpg</filename><size><width>1920</width><height>1080</height>"
+        "<depth>3</depth></size><segmented>0</segmented></annotation>"
+    )
+    got = {r["id"]: r for r in writers.annotations(images, options, "boxes array<struct<type:string>>").collect()}
+    assert got["1"]["annotation"]["boxes"][0]["type"] == "polygon" and not got["2"]["ok"] and got["2"]["annotation"] is None
+    assert [r["name"] for r in writers.preview(images, n=1).collect()] == ["x&y.jpg"]
+
+
 def test_key_never_shows():
     def send():
         raise OSError("401 https://x?api_key=K1 Unauthorized")

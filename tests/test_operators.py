@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +211,24 @@ def test_next_detection_walks_the_lattice(spark, sign):
         assert {(r["video"], r["idx"]): r["target"] for r in got.collect()} == expected
 
 
+def test_long_videos_and_repeated_points(spark):
+    n = 80_000
+    points = spark.range(n).select(F.lit("v").alias("video"), F.col("id").alias("idx"))
+    starts = spark.createDataFrame([("v", 10), ("v", 50_000)], "video string, start long")
+    began = time.perf_counter()
+    found = detections.next_start(points, starts).groupBy("target", "wrapped").count().collect()
+    assert sorted(map(tuple, found)) == [(10, False, 10), (10, True, n - 50_000), (50_000, False, 49_990)]
+    probes = points.withColumn("total", F.lit(n))
+    frames = spark.createDataFrame([("v", 60_000), ("v", 60_001)], "video string, frame long")
+    found = detections.next_detection(probes, frames, stride=2).groupBy("target").count().collect()
+    # Ahead on the probe's own lattice; else the even one, where the walk starts again.
+    assert dict(map(tuple, found)) == {60_000: 40_000 + 10_000, 60_001: 30_000}
+    assert time.perf_counter() - began < 60  # seconds; a frame computed anew per row takes minutes
+    events = spark.createDataFrame([("v", 0, 9, "a")], "video string, start long, end long, label string")
+    twice = spark.createDataFrame([("v", 3), ("v", 3), ("v", 30)], "video string, idx long")
+    assert detections.active_event(twice, events).count() == 2
+
+
 def test_reconcile_and_tracks(spark):
     frames = spark.createDataFrame([(1, [1, 2]), (9, [3])], "frame int, dets array<int>")
     assert rows(detections.reconcile(frames, 3)) == [(0, []), (1, [1, 2]), (2, [])]
