@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs.  All but the last
-return the columns of documents.
+return the columns of documents, those of any name unchanged.
+
+Null or empty texts fail the quality rules.  Rows with a null doc_id take no
+part in dedup and stay; repeated rows are judged alike, so all of them stay
+or go.  Empty tables give no rows, and very long texts are worked on whole.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, docs_bytes, materialise
+from .common import bit_filter, docs_bytes, hot_keys, join_spread, materialise
 
 WINDOW = 16
 #: A chunk ends at one byte in 2 ** CUT_BITS.
@@ -121,12 +121,15 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     read; an empty table gives no rows.
     """
     # Earliest document first, then the earliest place in it: long buffers, so both aggregate before the shuffle.
-    repeated = chunks(docs).groupBy("h").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    repeated = materialise(repeated.select("h", "kept"), "repeated")
+    repeated = chunks(docs).groupBy("h").agg(F.min("doc_id").alias("kept"), F.count("*").alias("c")).where("c > 1")
+    repeated = materialise(repeated, "repeated")
+    # A chunk that very many documents hold meets its earliest place by a broadcast.
+    hot = materialise(hot_keys(repeated, "h"), "hot")
+    repeated = repeated.select("h", "kept")
     bits = bit_filter(repeated, "h", FILTER_BITS)
-    met = materialise(chunks(docs, bits).join(repeated, "h"), "met")
+    met = materialise(join_spread(chunks(docs, bits), repeated, "h", hot), "met")
     places = met.where("doc_id = kept").groupBy("h").agg(F.min("start").alias("kept_start"))
-    met = met.join(places, "h").where("doc_id <> kept or start <> kept_start")
+    met = join_spread(met, places, "h", hot).where("doc_id <> kept or start <> kept_start")
     # Runs of touching chunks: a document's repeated chunks in one row, bounded by its text.
     one = F.struct("start", "end", "words", "kept")
     runs = met.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).alias("c"))

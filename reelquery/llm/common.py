@@ -2,43 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import shared_folder
 from ..plans.shipping import ship
 
 #: Internal columns carry this prefix so that extra input columns cannot clash.
 P = "__rq_"
+#: A key is hot if it has this many rows and one row in HOT_KEYS, so there are HOT_KEYS hot ones at most.
+HOT_ROWS, HOT_KEYS = 1024, 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one only where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="reelquery-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialise(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Write to the shared folder, in folders by the columns `by`, and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reelquery/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/reelquery/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     # Shuffle files live until the driver's garbage is collected: those of this step are of no more use.
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(counts: DataFrame, *keys: str) -> DataFrame:
+    """Keys of a table with a column c of counts that have very many rows: HOT_KEYS at most."""
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    return counts.where(F.col("c") >= max(HOT_ROWS, total // HOT_KEYS)).select(*keys)
+
+
+def join_spread(rows: DataFrame, ones: DataFrame, keys: str | list[str], hot: DataFrame) -> DataFrame:
+    """rows joined with `ones` (unique in keys): hot keys by broadcast, so their rows stay where they are; the rest by key."""
+    marked = rows.join(F.broadcast(hot.withColumn(P + "hot", F.lit(True))), keys, "left")
+    few = ones.join(F.broadcast(hot), keys, "left_semi")
+    rest = marked.where(F.col(P + "hot").isNull()).drop(P + "hot").join(ones, keys)
+    return rest.unionByName(marked.where(F.col(P + "hot")).drop(P + "hot").join(F.broadcast(few), keys))
+
+
 def bit_table(keys: DataFrame, key: str, n_bits: int) -> DataFrame:
     """(bucket, bits): n_bits bits, set at pmod(key, n_bits) of each row; at most n_bits / 32768 rows of 4 KB."""
     x = keys.select((F.pmod(F.col(key), F.lit(n_bits)) + 1).alias("x"))

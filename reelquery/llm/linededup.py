@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, bit_table, materialise, with_bit
+from .common import P, bit_table, hot_keys, join_spread, materialise, with_bit
 from .pii import let
 
 EDIT_WORDS = 8
@@ -167,12 +167,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         "seen",
     )
     halves = [F.min(F.get("halves", F.lit(i))).alias(f"k{i}") for i in range(4)]
-    distinct = seen.groupBy("h1", "h2").agg(F.min("at").alias("pos"), *halves)
+    distinct = seen.groupBy("h1", "h2").agg(F.min("at").alias("pos"), F.count("*").alias("c"), *halves)
     distinct = distinct.withColumn("halves", F.when(F.col("k0").isNotNull(), F.array("k0", "k1", "k2", "k3")))
-    distinct = materialise(distinct.select("h1", "h2", "pos", "halves"), "distinct")
+    distinct = materialise(distinct.select("h1", "h2", "pos", "c", "halves"), "distinct")
+    hot = materialise(hot_keys(distinct, "h1", "h2"), "hot")
     near = _near(docs, distinct, order)
     verdict = distinct.join(near, "pos", "left").select("h1", "h2", "pos", "kept")
-    gone = seen.select("at", "rid", "h1", "h2").join(verdict, ["h1", "h2"]).where("kept is not null or at > pos")
+    gone = join_spread(seen.select("at", "rid", "h1", "h2"), verdict, ["h1", "h2"], hot)
+    gone = gone.where("kept is not null or at > pos")
     gone = gone.withColumn("edits", F.when(F.col("kept").isNotNull(), 1).otherwise(0)).withColumn(
         "kept", F.coalesce("kept", "pos")
     )

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import P, bit_filter, bit_set, bit_table, docs_bytes, materialise, with_bit
+from .common import P, bit_filter, bit_set, bit_table, docs_bytes, hot_keys, join_spread, materialise, with_bit
 from .components import connected
 
 #: Rows and n-grams of one part of a block, about, and open rows that meet a part at a time.
@@ -50,8 +50,6 @@ OPEN_ROWS = 256
 #: Bits of the filters that spare what has no partner from being shuffled: fixed sizes, 8 MB and 1 MB.
 SIGNATURE_BITS = 1 << 26
 FILTER_BITS = 1 << 23
-#: A key is hot if it has this many rows and one row in HOT_KEYS, so there are HOT_KEYS hot ones at most.
-HOT_ROWS, HOT_KEYS = 1024, 1 << 16
 #: Sizes of a class differ by this factor at most.
 CLASS_RATIO = 1.5
 
@@ -222,20 +220,6 @@ def one_per_set(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     return marked.where(~F.col(P + "again")).unionByName(met).drop(P + "again")
 
 
-def hot_keys(counts: DataFrame, key: str) -> DataFrame:
-    """Keys of a (key, c) table that have very many rows: HOT_KEYS at most."""
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    return counts.where(F.col("c") >= max(HOT_ROWS, total // HOT_KEYS)).select(key)
-
-
-def join_spread(rows: DataFrame, ones: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """rows joined with `ones` (unique in key): hot keys by broadcast, so their rows stay where they are; the rest by key."""
-    marked = rows.join(F.broadcast(hot.withColumn(P + "hot", F.lit(True))), key, "left")
-    few = ones.join(F.broadcast(hot), key, "left_semi")
-    rest = marked.where(F.col(P + "hot").isNull()).drop(P + "hot").join(ones, key)
-    return rest.unionByName(marked.where(F.col(P + "hot")).drop(P + "hot").join(F.broadcast(few), key))
-
-
 def sharing_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gram, node, n, least, wide): signatures of rows that may have a link, where other rows have them too; and the hot ones.
 

@@ -48,7 +48,18 @@ _DIGIT = r"[0-9]"
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "us", "ch", "at", "it", "nl")
 POSITIVE = r"(?i)(mail|contact|call|tel|phone|fon|mobil|fax|card|carte|tarjeta|karte|visa|account|konto|iban|server|host|ip|token|password|secret|key|ssn|social)\W*$"
 NEGATIVE = r"(?i)(version|isbn|issn|doi|fig\.?|figure|table|page|chapter|section|no\.|nr\.|\$|€|v)\s*$"
-_SPAN = "array<struct<start:int,end:int,s:string>>"
+_SPAN = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
+#: Code points before a span that are looked at, and matches that are placed together.
+_BEFORE, _TOGETHER = 30, 256
+#: Frequent given names, in lower case.
+GIVEN_NAMES = (
+    "james john robert michael william david richard thomas charles daniel mary patricia jennifer linda elizabeth barbara "
+    "susan jessica sarah karen anna emma laura peter paul martin hans klaus wolfgang stefan andreas christian sabine ursula "
+    "monika petra claudia julia jean pierre michel philippe alain nicolas marie nathalie isabelle catherine sophie camille "
+    "antonio jose juan manuel francisco carlos javier miguel maria carmen ana isabel dolores pilar lucia elena"
+).split()
+#: How well-known kinds of credentials begin.
+CREDENTIALS = r"[:=]\x20*\"?(sk[-_]|pk[-_]|gh[pousr]_|glpat-|xox[abp]-|AKIA|AIza|eyJ)"
 
 
 def let(value: Column, body) -> Column:
@@ -57,26 +68,52 @@ def let(value: Column, body) -> Column:
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their positions in code points.
+    """Leftmost non-overlapping matches: positions in code points, what stands before, and the character after.
 
     A match starts where the pieces between matches and the matches before
-    it end; both come from the same scan rule.
+    it end; both come from the same scan rule.  What stands before reaches
+    back to the match before the last one at most.  Matches are placed in
+    groups of _TOGETHER, so a text with many of them takes linear time, but for
+    one small value per group.
     """
     parts = F.struct(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")
     )
 
     def place(p: Column) -> Column:
+        m, g, n = p["m"], p["g"], F.size(p["m"])
+
         def step(a: Column, i: Column) -> Column:
-            start = a["at"] + F.length(F.get(p["g"], i))
-            s = F.get(p["m"], i)
+            gap, s = F.get(g, i), F.get(m, i)
+            start = a["at"] + F.length(gap)
             end = start + F.length(s)
-            span = F.struct(start.alias("start"), end.alias("end"), s.alias("s"))
+            before = F.right(F.concat(F.when(i > 0, F.get(m, i - 1)).otherwise(""), gap), F.lit(_BEFORE))
+            after = F.left(F.concat(F.get(g, i + 1), F.coalesce(F.get(m, i + 1), F.lit(""))), F.lit(1))
+            span = F.struct(
+                start.alias("start"), end.alias("end"), s.alias("s"), before.alias("before"), after.alias("after")
+            )
             return F.struct(end.alias("at"), F.array_append(a["out"], span).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-        n = F.size(p["m"])
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda a: a["out"]))
+        groups = F.sequence(F.lit(0), F.floor((n - 1) / _TOGETHER).cast("int"))
+        long_ = lambda k: F.aggregate(
+            F.sequence(k * _TOGETHER, F.least(n, (k + 1) * _TOGETHER) - 1),
+            F.lit(0),
+            lambda a, i: a + F.length(F.get(g, i)) + F.length(F.get(m, i)),
+        )
+        starts = F.aggregate(groups, F.array(F.lit(0)), lambda a, k: F.array_append(a, F.get(a, k) + long_(k)))
+
+        def placed(at: Column) -> Column:
+            def group(k: Column) -> Column:
+                zero = F.struct(F.get(at, k).alias("at"), F.array().cast(_SPAN).alias("out"))
+                return F.aggregate(F.sequence(k * _TOGETHER, F.least(n, (k + 1) * _TOGETHER) - 1), zero, step, lambda a: a["out"])
+
+            return F.flatten(F.transform(groups, group))
+
+        # One group needs no starts.
+        few = F.aggregate(
+            F.sequence(F.lit(0), n - 1), F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda a: a["out"]
+        )
+        return F.when(n > _TOGETHER, let(starts, placed)).when(n > 0, few)
 
     return F.coalesce(let(parts, place), F.array().cast(_SPAN))
 
@@ -127,7 +164,11 @@ def _listed(kind: str, s: Column) -> Column:
         return F.when(s.rlike(r"^(0|22[4-9]|2[3-5][0-9])\."), 0).otherwise(1)
     if kind == "local_phone":
         return F.when(s.rlike(r"^\(?[2-9]"), 1).otherwise(2)
-    return F.lit(1 if kind in ("secret", "name") else 0)
+    if kind == "secret":
+        return F.when(s.rlike(CREDENTIALS), 1).otherwise(0)
+    if kind == "name":
+        return F.when(F.exists(F.split(F.lower(s), " "), lambda w: w.isin(*GIVEN_NAMES)), 1).otherwise(0)
+    return F.lit(0)
 
 
 #: Votes: 0 abstains, 1 for personal data, 2 against.
@@ -136,14 +177,12 @@ LABELERS = ("form", "listed", "context", "against", "boundary", "trivial")
 FEATURES = {"kind": len(KINDS), "length": 4, "digits": 3, "before": 3, "gaps": 2}
 
 
-def _judged(text: Column, kind: str, found: Column) -> Column:
+def _judged(kind: str, found: Column) -> Column:
     """Candidates with votes and features, each packed into one integer."""
 
     def one(x: Column) -> Column:
-        s, start, end = x["s"], x["start"], x["end"]
-        before = F.substring(text, F.greatest(start - 29, F.lit(1)), F.least(start, F.lit(30)))
-        last = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")
-        after = F.substring(text, end + 1, F.lit(1))
+        s, start, end, before, after = (x[c] for c in ("s", "start", "end", "before", "after"))
+        last = F.right(before, F.lit(1))
         boundary = F.when(last.rlike(r"[\p{L}\p{N}]") | after.rlike(r"[\p{L}\p{N}]"), 2).otherwise(0)
         digits = _digits(s)
         trivial = F.when(digits.rlike(r"^(\d)\1{7,}$") | digits.rlike("^(0?123456789|987654321)"), 2).otherwise(0)
@@ -193,10 +232,10 @@ def candidates(text: Column) -> Column:
     def judged(p: Column) -> Column:
         b, e = p["b"], p["e"]
         good = lambda k: F.filter(b[k], lambda x: valid(k, x["s"]))
-        kept = F.concat(*[_judged(text, k, good(k)) for k in BASE])
+        kept = F.concat(*[_judged(k, good(k)) for k in BASE])
         account = F.filter(b["card"], lambda x: F.length(_digits(x["s"])).between(13, 19) & ~valid("card", x["s"]))
         proposed = F.concat(
-            _judged(text, "account", account), *[_judged(text, k, e[k]) for k in EXTRA if k != "account"]
+            _judged("account", account), *[_judged(k, e[k]) for k in EXTRA if k != "account"]
         )
 
         def merged(q: Column) -> Column:
@@ -344,11 +383,18 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with each span of personal data in `text` replaced by its kind, as in <EMAIL>; other columns unchanged.
 
-    Null text stays null; a text without spans is unchanged.
+    Null text stays null; a text without spans is unchanged, as are very long
+    ones beyond their spans.  Repeated rows repeat, a null doc_id does not
+    matter, columns of any name are kept, an empty table gives no rows.
+    Candidates are computed once and written beside the rows.
     """
-    model = fit(materialise(docs.select(candidates(F.col("text")).alias("found")), "found"))
+    if not docs.columns:
+        return docs
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = materialise(docs.select(F.struct(*columns).alias("row"), candidates(F.col("text")).alias("found")), "found")
+    model = fit(whole)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    text = F.col("text")
+    text = F.col("row")["text"]
 
     def rewrite(found: Column) -> Column:
         def step(a: Column, x: Column) -> Column:
@@ -366,4 +412,5 @@ def redact(docs: DataFrame) -> DataFrame:
         zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         return F.when(F.size(found) > 0, F.aggregate(found, zero, step, rest)).otherwise(text)
 
-    return docs.withColumn("text", let(kept_spans(candidates(text), model), rewrite))
+    redacted = let(kept_spans(F.col("found"), model), rewrite)
+    return whole.select(*[(redacted if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -206,6 +206,37 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs(spark, [])).count() == 0
 
 
+def test_spans_beyond_the_base_rules(spark):
+    rng = random.Random(12)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    digits = lambda n: rng.choice("2345678") + number(n - 1)
+    personal = [
+        lambda: ("name", f"Dr. {rng.choice(['Maria', 'Peter', 'Laura'])} {rng.choice(['Okafor', 'Lindqvist', 'Moreau'])}"),
+        lambda: ("ssn", f"{rng.randint(100, 650)}-{rng.randint(10, 99)}-{digits(4)}"),
+        lambda: ("local_phone", f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        lambda: ("secret", f"token: ghp_{number(8)}abcDEF{number(8)}"),
+    ]
+    texts, truth = [], []
+    for i in range(400):
+        kind, value = personal[i % 4]()
+        lead = {"name": "I met ", "ssn": "social ", "local_phone": "call ", "secret": "the "}[kind]
+        texts.append(f"{lead}{value} today, é and mail a{i}@example.com")
+        truth.append(f"{kind}:{len(lead)}:{len(lead) + len(value)}")
+    plain = [f"a plain line of prose about year {1000 + i} and chapter {i}" for i in range(100)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find_personal_data(docs(spark, texts + plain)).collect()}
+    found = sum(t in got[i] for i, t in enumerate(truth))
+    assert found >= 0.9 * len(truth)
+    assert all(got[len(texts) + i] == [""] for i in range(100))
+    # Many matches in one text: the same places as a plain scan.
+    long_ = " ".join(f"x{i}@y{i}.com, {i}.1.2.3;" for i in range(700))
+    r = pii.find_personal_data(docs(spark, [long_])).first()
+    assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(long_)).encode()).hexdigest()
+    odd = spark.createDataFrame([(1, "a@b.cd", 2, 3), (1, "a@b.cd", 2, 3), (None, None, 1, 1)], "doc_id long, text string, found long, `a.b` long")
+    clean = pii.redact(odd)
+    assert clean.columns == odd.columns
+    assert sorted(map(str, clean.collect())) == sorted(str(r) for r in clean.collect()) and clean.where("text = '<EMAIL>'").count() == 2
+
+
 def test_em_recovers_planted_reliabilities():
     rng = random.Random(8)
     counts = defaultdict(int)
