@@ -189,13 +189,52 @@ def test_repeated_spans(spark):
     for r in got:
         span = text[r["doc_id"]][r["start"] : r["end"]]
         assert r["kept_doc_id"] <= r["doc_id"] and span[-40:] and r["words"] >= chunkdedup.MIN_WORDS
-        holders = [t for d, t in rows if t and d is not None and d != r["doc_id"] and span in t]
-        assert holders or r["doc_id"] == 903
+        kept, (i, j) = text[r["kept_doc_id"]], (r["start"], r["end"])
+        assert span in kept and kept != text[r["doc_id"]] or r["doc_id"] in (900, 903)
+        # Maximal: one character more on either side is not in the kept text.
+        if r["doc_id"] != 903:
+            own = text[r["doc_id"]]
+            assert (i == 0 or own[i - 1 : j] not in kept) and (j == len(own) or own[i : j + 1] not in kept)
+        assert abs(r["words"] - len(span.split())) <= 1
+    for p, at in planted.items():
+        for i in at[1:]:
+            first = text[i].index(passages[p])
+            assert any(r["doc_id"] == i and r["start"] <= first and first + len(passages[p]) <= r["end"] for r in got)
     whole = [r for r in got if r["doc_id"] == 900]
     assert (whole[0]["start"], whole[0]["end"]) == (0, len(text[0]))
     assert chunkdedup.repeated_spans(docs(spark, rows).where("false")).count() == 0
 
 
+def plain_growth(left, own, start, end, kept, place):
+    n = 0
+    if left:
+        while n < min(start, place) and own[start - 1 - n] == kept[place - 1 - n]:
+            n += 1
+    else:
+        while n < min(len(own) - end, len(kept) - place) and own[end + n] == kept[place + n]:
+            n += 1
+    return n
+
+
+def test_ends_grow_to_the_true_ends_of_a_repeat():
+    rng = random.Random(15)
+    alphabet = "ab cdé\n€fgh"
+    for _ in range(300):
+        make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+        core, a, b, c, d = make(60), make(40), make(40), make(40), make(40)
+        common_left, common_right = make(rng.randrange(12)), make(rng.randrange(12))
+        own, kept = a + common_left + core + common_right + b, c + common_left + core + common_right + d
+        i, k = len(a) + len(common_left), len(c) + len(common_left)
+        j, m = i + len(core), k + len(core)
+        cut = lambda t, *at: [t[x:y].encode() for x, y in zip(at, at[1:], strict=False)]
+        grown = chunkdedup._grown(True, *cut(own, 0, i, j), *cut(kept, 0, k, m))
+        assert grown[0] == plain_growth(True, own, i, j, kept, k)
+        grown = chunkdedup._grown(False, *cut(own, i, j, len(own)), *cut(kept, k, m, len(kept)))
+        assert grown[0] == plain_growth(False, own, i, j, kept, m)
+    # A place that does not hold the run's text moves nothing.
+    assert chunkdedup._grown(True, b"same ", b"x" * 60, b"same ", b"y" * 60) == (0, 0)
+
+
 def plain_top(vectors, k=20):
     ok = [(i, np.floor(64 * np.array(v, float)).astype(object)) for i, v in vectors if v is not None and i is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
