@@ -88,6 +88,16 @@ def upload_jobs(layouts: list[DataFrame]) -> DataFrame:
     return first_seen(every, "name", ["prio", "path"])
 
 
+def job_counts(jobs: DataFrame) -> DataFrame:
+    """Jobs per split, after each name was taken once."""
+    return jobs.groupBy("split").agg(F.count("*").alias("n"))
+
+
+def preview(rows: DataFrame, *order: str, n: int = 5) -> DataFrame:
+    """The first n rows in the given order: what a dry run shows."""
+    return rows.orderBy(*order).limit(n)
+
+
 def with_offset(rows: DataFrame, offsets: DataFrame, key: str) -> DataFrame:
     """Adds offset, 0 where the table (`key`, offset) has none."""
     return rows.join(offsets, key, "left").withColumn("offset", F.coalesce("offset", F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,3 +104,17 @@ def collect_plan(manifest: DataFrame, on_disk: DataFrame) -> DataFrame:
     """frame, found: whether the source of each manifest row is on disk."""
     there = on_disk.select("frame").distinct().withColumn("found", F.lit(True))
     return manifest.join(there, "frame", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+class Places(NamedTuple):
+    """Where a mode's sheets lie and what it collects goes, and the prefix of its sheets' names."""
+
+    prefix: str
+    sheets: str
+    dest: str
+
+
+def places(mode: str, mining: str, data: str, dest: str | None = None) -> Places:
+    """The places of a review mode: 'background', or 'positive' for any other; `dest` replaces the usual one."""
+    prefix, usual = ("bg", "backgrounds") if mode == "background" else ("positive", "to_annotate")
+    return Places(prefix, f"{mining.rstrip('/')}/contact_{prefix}", dest or f"{data.rstrip('/')}/{usual}")

@@ -36,6 +36,11 @@ def stage_means(samples: DataFrame, stages: str = "stages") -> DataFrame:
     return samples.select(F.explode(stages).alias("stage", "ms")).groupBy("stage").agg(F.avg("ms").alias("mean"))
 
 
+def extraction_total(videos: DataFrame, frames: str) -> DataFrame:
+    """videos, frames: how many videos, and the sum of their frames (a null counts as none)."""
+    return videos.agg(F.count("*").alias("videos"), F.coalesce(F.sum(frames), F.lit(0)).alias("frames"))
+
+
 def run_summary(results: DataFrame, ok: str = "ok") -> DataFrame:
     """ok, failed, exit_code: 1 only if something failed and nothing went well."""
     good, bad = F.count_if(F.col(ok)), F.count_if(~F.coalesce(F.col(ok), F.lit(False)))

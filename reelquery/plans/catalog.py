@@ -466,6 +466,30 @@ def upload_jobs(spark: SparkSession, d: str) -> DataFrame:
     return jobs.select("name", "path", "prio")
 
 
+@query(
+    """SELECT split, count(*) AS n FROM (SELECT split, row_number() OVER (PARTITION BY name ORDER BY split, page_id) AS r
+    FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS name, page_id,
+    CASE WHEN url LIKE 'https:%' THEN 'train' ELSE 'valid' END AS split FROM pages)) WHERE r = 1 GROUP BY split"""
+)
+def job_counts(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(
+        F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("name"), F.col("page_id").alias("path"),
+        F.when(F.startswith("url", F.lit("https:")), "train").otherwise("valid").alias("split"),
+    )
+    return remote.job_counts(remote.upload_jobs([pages.where("split = 'train'"), pages.where("split = 'valid'")]))
+
+
+@query("SELECT o_orderkey AS frame FROM orders ORDER BY o_orderkey LIMIT 5")
+def preview(spark: SparkSession, d: str) -> DataFrame:
+    return remote.preview(table(spark, d, "orders").select(F.col("o_orderkey").alias("frame")), "frame")
+
+
+@query("SELECT count(*) AS videos, CAST(sum(n) AS BIGINT) AS frames FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
+def extraction_total(spark: SparkSession, d: str) -> DataFrame:
+    videos = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return stats.extraction_total(videos, "n")
+
+
 @query("SELECT event_id FROM events")
 def paged_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")

@@ -53,6 +53,20 @@ def _per_split(spark: SparkSession, export: str, part: str, load, columns: str)
     return out
 
 
+def videos(spark: SparkSession, folder: str, ext: str = "mp4") -> DataFrame:
+    """path, video of the video files that lie in a folder itself, in the order of their paths; none at all is an error."""
+    pattern = "*." + ext.lstrip(".")
+    if not exists(spark, f"{folder.rstrip('/')}/{pattern}"):
+        raise MissingInput(f"no {pattern} in {folder}")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return found.select("path", names.stem("path").alias("video")).orderBy("path")
+
+
+def stale_caches(spark: SparkSession, export: str) -> DataFrame:
+    """path of every *.cache at any depth: a plan to delete, since a stale one would hide a changed export."""
+    return _listing(spark, export, "*.cache").select("path")
+
+
 def export_images(spark: SparkSession, export: str) -> DataFrame:
     """split, path, stem of the images of an export; splits that are not there give no rows."""
     return _per_split(

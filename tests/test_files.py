@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelquery.functions import images, infer
-from reelquery.operators import scores
-from reelquery.sources import files, remote, settings, sinks, writers
+from reelquery.operators import scores, sheets
+from reelquery.sources import files, remote, settings, sinks, tracks, writers
 from reelquery.streaming import ingest
 
 
@@ -224,3 +224,38 @@ def test_tracking(spark, tmp_path):
 
 
 assert sys.version_info >= (3, 10)
+
+
+def test_videos_caches_and_places(spark, tmp_path):
+    root = str(tmp_path / "raw")
+    for name in ("b.mp4", "a.mp4", "c.mov", "deep/d.mp4"):
+        put(f"{root}/{name}")
+    assert [r["video"] for r in files.videos(spark, root, ".mp4").collect()] == ["a", "b"]
+    assert [r["video"] for r in files.videos(spark, root, "mov").collect()] == ["c"]
+    with pytest.raises(files.MissingInput):
+        files.videos(spark, root, "avi")
+    export = str(tmp_path / "export")
+    for name in ("train/labels.cache", "train/labels/a.txt", "x/y/z.cache"):
+        put(f"{export}/{name}")
+    plan = files.stale_caches(spark, export)
+    assert plan.count() == 2
+    assert all(r["ok"] for r in sinks.carry_out(plan, "delete").collect())
+    assert files.stale_caches(spark, export).count() == 0 and os.path.exists(f"{export}/train/labels/a.txt")
+    assert sheets.places("background", "/m/", "/d") == ("bg", "/m/contact_bg", "/d/backgrounds")
+    assert sheets.places("positive", "/m", "/d") == ("positive", "/m/contact_positive", "/d/to_annotate")
+    assert sheets.places("background", "/m", "/d", "/e").dest == "/e"
+
+
+def test_cached_tracks(spark, tmp_path):
+    root, made = str(tmp_path), []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    assert tracks.cached(spark, root, "k", make).count() == 1
+    assert tracks.cached(spark, root, "k", make).count() == 1 and len(made) == 1
+    assert tracks.cached(spark, root, "k", make, rescan=True).count() == 2
+    os.remove(f"{root}/k/_SUCCESS")
+    assert tracks.cached(spark, root, "k", make).count() == 3
+    assert tracks.cached(spark, root, None, make).count() == 4 and sorted(os.listdir(root)) == ["k"]
