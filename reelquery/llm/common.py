@@ -28,7 +28,16 @@ def materialise(df: DataFrame, label: str, *by: str) -> DataFrame:
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     # Shuffle files live until the driver's garbage is collected: those of this step are of no more use.
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.reelquery_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` returned; nothing that is still to be computed may read them."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.reelquery_folder)
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def hot_keys(counts: DataFrame, *keys: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, bit_table, hot_keys, join_spread, materialise, with_bit
+from .common import P, bit_table, discard, hot_keys, join_spread, materialise, with_bit
 from .pii import let
 
 EDIT_WORDS = 8
@@ -143,7 +143,9 @@ def _near(docs: DataFrame, distinct: DataFrame, order: Order) -> DataFrame:
     met = keyed.join(first, "key").where("kept < pos").groupBy("pos").agg(F.min("kept").alias("kept"))
     other = lines.select(F.col("pos").alias("kept"), F.col("words").alias("kept_words"))
     proven = met.join(lines, "pos").join(other, "kept").where(within_one(F.col("words"), F.col("kept_words")))
-    return materialise(proven.select("pos", "kept"), "near")
+    near = materialise(proven.select("pos", "kept"), "near")
+    discard(partners, lines)
+    return near
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -178,10 +180,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     gone = gone.withColumn("edits", F.when(F.col("kept").isNotNull(), 1).otherwise(0)).withColumn(
         "kept", F.coalesce("kept", "pos")
     )
-    return gone.select(
+    gone = gone.select(
         order.doc("at").alias("doc_id"), "rid", order.line("at").cast("long").alias("line_no"),
         order.doc("kept").alias("kept_doc_id"), order.line("kept").cast("long").alias("kept_line_no"), "edits",
     )
+    gone = materialise(gone, "gone")
+    discard(seen, distinct, near)
+    return gone
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

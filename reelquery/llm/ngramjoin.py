@@ -13,12 +13,16 @@ its transpose, in blocks, keeping only entries that can reach the threshold.
    Only signatures are shuffled; a row with too few that others have is
    discarded.
 3. The remaining rows meet in blocks.  A block is what shares a signature
-   whose most widely sharing row, the pivot, is the same.  In a block the
-   product with the pivot comes first; rows that it links need not be held
-   against each other, since only components are asked for.  Every other row
-   is multiplied with the whole block.  Overlaps accumulate over the block's
-   postings, and pairs below the bounds of their sizes are discarded.
-4. Blocks of more than BLOCK_ROWS rows are split; rows left open by their own
+   whose most widely sharing row, the pivot, is the same.  Most rows of a
+   large block share a passage and no more.  So signatures meet first, which
+   are few: a row goes on only with rows that it shares as many with as a
+   link takes, and the components of these are the blocks of the next step.
+4. In a block the product with the pivot comes first; rows that it links need
+   not be held against each other, since only components are asked for.
+   Every other row is multiplied with the whole block.  Overlaps accumulate
+   over the block's postings, and pairs below the bounds of their sizes are
+   discarded.
+5. Blocks of more than BLOCK_ROWS rows are split; rows left open by their own
    part meet the other parts, piece by piece.  No task holds more than two
    parts, and no pair is a row of a table: tasks return spanning links.
 
@@ -40,13 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import P, bit_filter, bit_set, bit_table, docs_bytes, hot_keys, join_spread, materialise, with_bit
+from .common import P, bit_filter, bit_set, bit_table, discard, docs_bytes, hot_keys, join_spread, materialise, with_bit
 from .components import connected
 
 #: Rows and n-grams of one part of a block, about, and open rows that meet a part at a time.
 BLOCK_ROWS = 256
 BLOCK_GRAMS = 1 << 22
 OPEN_ROWS = 256
+#: Rows of one part of a block, about, while signatures meet.
+SIGNED_ROWS = 1024
 #: Bits of the filters that spare what has no partner from being shuffled: fixed sizes, 8 MB and 1 MB.
 SIGNATURE_BITS = 1 << 26
 FILTER_BITS = 1 << 23
@@ -144,15 +150,16 @@ def classes(n: int, num: int, den: int) -> tuple[tuple[int, int, int, int], ...]
     return tuple(out)
 
 
-def signatures(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
+def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[list[np.ndarray], list[bool]]:
     """Hashes of each set's segments; equal segments of one class have equal ones, and empty segments have none.
+    And whether a set is bare: has more empty segments than allowed.
 
-    A row with more empty segments than allowed has its first n-grams as
-    signatures too: as many as linked sets need to share some of them.  A
+    A bare row has its first n-grams as signatures too: as many as linked sets need to share some of them.  A
     pair that may agree in empty segments alone has two such rows.
     """
     asked = [classes(len(s), num, den) for s in sets]
     out: list[list[np.ndarray]] = [[] for _ in sets]
+    bare = [False] * len(sets)
     for turn in range(max(map(len, asked), default=0)):
         mine = [i for i, a in enumerate(asked) if len(a) > turn]
         sizes = np.array([len(sets[i]) for i in mine], np.int64)
@@ -173,23 +180,23 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
             out[i].append(own)
             low_, k_, empty, least = asked[i][turn]
             if len(own) < k_ - empty:
-                n = len(sets[i])
+                n, bare[i] = len(sets[i]), True
                 prefix = sets[i][: n - -(-n * num // den) + least]
                 out[i].append(W.mix(prefix ^ W.mix(np.array([low_], np.uint64))))
-    return [np.unique(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in out]
+    return [np.unique(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in out], bare
 
 
-INCIDENCE = "doc_id long, set_id binary, n long, least int, signatures array<long>"
+INCIDENCE = "doc_id long, set_id binary, n long, least int, bare int, signatures array<long>"
 
 
 def incidence(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """One row per document: digest of its set, the set's size, signatures a link takes at least, and its signatures."""
+    """One row per document: digest of its set, the set's size, signatures a link takes at least, 1 if bare, and its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             first = 0
             for sets in sets_of_texts(b.column(1), words):
-                signed = signatures(sets, num, den)
+                signed, bare = signatures(sets, num, den)
                 least = [min((c[3] for c in classes(len(s), num, den)), default=0) for s in sets]
                 offsets = np.append(0, np.cumsum([len(x) for x in signed])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -198,9 +205,10 @@ def incidence(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(least, pa.int32()),
+                        pa.array([int(x) for x in bare], pa.int32()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signed).view(np.int64))),
                     ],
-                    ["doc_id", "set_id", "n", "least", "signatures"],
+                    ["doc_id", "set_id", "n", "least", "bare", "signatures"],
                 )
                 first += len(sets)
 
@@ -221,7 +229,7 @@ def one_per_set(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def sharing_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, node, n, least, wide): signatures of rows that may have a link, where other rows have them too; and the hot ones.
+    """(gram, node, n, least, bare, wide): signatures of rows that may have a link, where other rows have them too; and the hot ones.
 
     `wide` is the share, in thousandths, of a row's signatures that others have.
     """
@@ -232,24 +240,26 @@ def sharing_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column(3).flatten().to_numpy(zero_copy_only=False)
-            sizes = np.array(pc.list_value_length(b.column(3)), np.int64)
+            flat = b.column(4).flatten().to_numpy(zero_copy_only=False)
+            sizes = np.array(pc.list_value_length(b.column(4)), np.int64)
             bit = np.mod(flat, SIGNATURE_BITS)
             at = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
             owner = pa.array(np.repeat(np.arange(len(sizes)), sizes)[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[at]), *(c.take(owner) for c in b.columns[:3]), pa.array(sizes.astype(np.int32)).take(owner)],
-                ["gram", "node", "n", "least", "p"],
+                [pa.array(flat[at]), *(c.take(owner) for c in b.columns[:4]), pa.array(sizes.astype(np.int32)).take(owner)],
+                ["gram", "node", "n", "least", "bare", "p"],
             )
 
-    postings = rows.select(F.col("doc_id").alias("node"), "n", "least", "signatures").mapInArrow(
-        kept, "gram long, node long, n long, least int, p int"
+    postings = rows.select(F.col("doc_id").alias("node"), "n", "least", "bare", "signatures").mapInArrow(
+        kept, "gram long, node long, n long, least int, bare int, p int"
     )
     shared = materialise(join_spread(postings, common.select("gram"), "gram", hot), "shared")
     share = (F.count("*") * 1000 / F.max("p")).cast("int")
-    able = shared.groupBy("node").agg(F.count("*").alias("c"), F.max("least").alias("l"), share.alias("wide"))
+    able = shared.groupBy("node").agg(F.count("*").alias("c"), F.min("least").alias("l"), share.alias("wide"))
     able = able.where("c >= l").select("node", "wide")
-    return materialise(shared.drop("p").join(able, "node"), "sharing"), hot
+    sharing = materialise(shared.drop("p").join(able, "node"), "sharing")
+    discard(common, shared)
+    return sharing, hot
 
 
 def blocks(sharing: DataFrame, hot: DataFrame) -> DataFrame:
@@ -262,7 +272,7 @@ def blocks(sharing: DataFrame, hot: DataFrame) -> DataFrame:
     best = F.max(F.struct("wide", (-F.col("node")).alias("minus")))
     pivots = sharing.groupBy("gram").agg(best.alias("m"), F.count("*").alias("c")).where("c > 1")
     pivots = pivots.select("gram", (-F.col("m.minus")).alias("pivot"), F.col("m.wide").alias("head_wide"))
-    met = join_spread(sharing.drop("wide"), pivots, "gram", hot)
+    met = join_spread(sharing.drop("wide", "bare"), pivots, "gram", hot)
     members = materialise(met.groupBy("pivot", "head_wide", "node", "n", "least").agg(F.count("*").alias("c")), "members")
     rank = F.struct("head_wide", (-F.col("pivot")).alias("minus"))
     near = members.where((F.col("c") >= F.col("least")) | (F.col("node") == F.col("pivot")))
@@ -275,6 +285,92 @@ def blocks(sharing: DataFrame, hot: DataFrame) -> DataFrame:
     return moved.select(F.col("top").alias("pivot"), "node", "n").distinct()
 
 
+class Signed:
+    """Rows (node, size, bare, signatures) of one part of a block, while signatures meet."""
+
+    def __init__(self, rows: list[tuple], num: int, den: int) -> None:
+        self.nodes, self.sizes, self.bare = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        self.sets, self.num, self.den = [r[3] for r in rows], num, den
+        self.part = Incidence(self.sets)
+        found = np.array([segments(*class_of(int(n)), num, den) for n in self.sizes], np.int64)
+        self.segments, self.empty, self.least = found.T
+
+    def partners(self, i: int) -> np.ndarray:
+        """Positions of the other rows that may link with row i, by their sizes and the number of signatures shared.
+
+        `segments` with the two sizes themselves in place of their class's
+        largest: all but a few segments agree, unless both rows are bare.
+        """
+        n, m, mine = self.sizes[i], self.sizes, self.sizes[i] <= self.sizes
+        of = lambda x: np.where(mine, x[i], x)
+        differ = (n + m) * (self.den - self.num) // (self.den + self.num)
+        least = np.where(self.bare[i] & self.bare, of(self.least), of(self.segments) - differ - of(self.empty))
+        found = self.part.product(self.sets[i]) >= np.maximum(least, 1)
+        found &= np.minimum(n, m) * self.den >= np.maximum(n, m) * self.num
+        found[i] = False
+        return np.flatnonzero(found)
+
+
+def narrow(pivot: int, rows: list[tuple], num: int, den: int, whole: bool) -> list[tuple[int, int, int]]:
+    """(pivot, node, n) of rows that have partners.
+
+    With the `whole` block at hand, rows go by the components of partners:
+    the pivot's keeps it, every other takes its row with most partners found.
+    """
+    part = Signed(rows, num, den)
+    nodes, sizes, links = part.nodes, part.sizes, Links(part.nodes)
+    degree = np.zeros(len(rows), np.int64)
+    hub = next((i for i, x in enumerate(nodes.tolist()) if x == pivot), None)
+    for i in ([] if hub is None else [hub]) + [i for i in range(len(rows)) if i != hub]:
+        if hub is not None and i != hub and links.root(i) == links.root(hub):
+            continue
+        if degree[i] and not whole:
+            continue
+        met = part.partners(i)
+        degree[i] = max(degree[i], len(met))
+        degree[met] = np.maximum(degree[met], 1)
+        for j in met.tolist():
+            links.add(i, j)
+    kept = np.flatnonzero(degree).tolist()
+    if not whole:
+        return [(pivot, int(nodes[i]), int(sizes[i])) for i in kept]
+    heads: dict[int, int] = {}
+    for i in kept:
+        root = links.root(i)
+        at = heads.setdefault(root, i)
+        if at != hub and (i == hub or (degree[i], -nodes[i]) > (degree[at], -nodes[at])):
+            heads[root] = i
+    return [(int(nodes[heads[links.root(i)]]), int(nodes[i]), int(sizes[i])) for i in kept]
+
+
+def narrowed(blocks: DataFrame, sharing: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, node, n) distinct: `blocks` without rows that can link with none of their block.
+
+    Every two parts of a block meet, by the signatures that others have too;
+    the pivot is with all of them.
+    """
+    counts = blocks.groupBy("pivot").agg(F.count("*").alias("c"))
+    hot = materialise(hot_keys(counts, "pivot"), "hot")
+    parts = counts.select("pivot", F.ceil(F.col("c") / SIGNED_ROWS).cast("int").alias("parts"))
+    placed = join_spread(blocks, parts, "pivot", hot)
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
+    placed = placed.withColumn("own", F.explode(F.when(F.col("node") == F.col("pivot"), others).otherwise(F.array(own))))
+    placed = placed.withColumn("other", F.explode(others))
+    first, last = F.least("own", "other").alias("first"), F.greatest("own", "other").alias("last")
+    placed = placed.select("pivot", first, last, "parts", "node", "n").distinct()
+    signed = sharing.groupBy("node", "n").agg(F.max("bare").alias("bare"), F.collect_list("gram").alias("grams"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (pivot, _, _, parts), held in _groups(batches, 4, 0):
+            found = list(zip(*narrow(pivot, held, num, den, parts == 1), strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["pivot", "node", "n"])
+
+    met = placed.join(signed, ["node", "n"]).select("pivot", "first", "last", "parts", "node", "n", "bare", "grams")
+    met = met.repartition("pivot", "first", "last").sortWithinPartitions("pivot", "first", "last", "node")
+    return met.mapInArrow(meet, "pivot long, node long, n long").distinct()
+
+
 def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """`rows` with the text of their node: texts are shuffled, which are smaller than sets and compress."""
     marks = bit_table(rows.select(F.xxhash64("node").alias("x")), "x", FILTER_BITS)
@@ -353,11 +449,15 @@ def link_part(nodes: np.ndarray, sets: list[np.ndarray], pivot: int, num: int, d
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int, words: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with equal first columns; the text, which is last, becomes its set."""
+    """Runs of rows with equal first columns; the text, which is last, becomes its set (without `words`: is an array)."""
     key, held = None, []
     for b in batches:
         columns = [c.to_pylist() for c in b.columns[:-1]]
-        sets = (x for some in sets_of_texts(b.column(b.num_columns - 1), words) for x in some)
+        last = b.column(b.num_columns - 1)
+        if words:
+            sets = (x for some in sets_of_texts(last, words) for x in some)
+        else:
+            sets = (x.values.to_numpy() for x in last)
         for *row, grams in zip(*columns, sets, strict=True):
             if tuple(row[:keys]) != key:
                 if held:
@@ -472,7 +572,12 @@ def jaccard_components(
     all_rows = rows.select("doc_id", "set_id", "n")
     usable = rows.where("doc_id is not null and n > 0")
     firsts = materialise(usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")), "firsts")
-    members = materialise(blocks(*sharing_rows(one_per_set(usable.where("least > 0"), firsts))), "blocks")
+    sharing, hot = sharing_rows(one_per_set(usable.where("least > 0"), firsts))
+    all_rows = materialise(all_rows, "sets")
+    discard(rows)  # signatures are the largest table
+    wide = materialise(blocks(sharing, hot), "wide")
+    members = materialise(narrowed(wide, sharing, num, den), "blocks")
+    discard(sharing, wide)
     found = connected(links(docs, members, words, num, den, block_rows))
     of_set = firsts.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     return all_rows.join(of_set, "set_id", "left").select(

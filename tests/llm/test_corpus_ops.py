@@ -1,5 +1,6 @@
 """Search, joins, dedup and scoring against plain versions."""
 
+import pathlib
 import random
 import re
 
@@ -71,6 +72,27 @@ def test_jaccard_components(spark, k, num, block, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows, k, num, 100)
 
 
+@pytest.mark.parametrize("signed_rows", [1024, 8])
+def test_jaccard_shared_passage(spark, signed_rows, monkeypatch):
+    """Rows that share a passage and do not link send no texts, and tables that nobody reads any more are gone."""
+    monkeypatch.setattr(ngramjoin, "SIGNED_ROWS", signed_rows, raising=False)
+    sent, with_text = [], ngramjoin.with_text
+    monkeypatch.setattr(ngramjoin, "with_text", lambda docs, rows: sent.append(rows.count()) or with_text(docs, rows))
+    rng = random.Random(5)
+    passage = prose(rng, 120)
+    texts = [prose(rng, 40) + passage + prose(rng, 40) for _ in range(120)]
+    texts += [edited(rng, t, 2) for t in texts[:10] for _ in range(2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "reelquery")
+    before = set(shared.glob("*"))
+    got = ngramjoin.jaccard_components(docs(spark, rows), 5, 80).collect()
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got}
+    assert found == plain_components(rows, 5, 80, 100) and len({c for _, c in found.values()}) == 120
+    assert sum(sent) <= 60
+    left = {x.name.rsplit("-")[0] for x in set(shared.glob("*")) - before}
+    assert not left & {"incidence", "common", "shared", "sharing"}
+
+
 def test_jaccard_edge_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e")]
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in ngramjoin.jaccard_components(docs(spark, rows), 4, 85).collect())
