@@ -3,16 +3,19 @@
 Vectors become sparse rows of integer weights (term = component).  Candidate
 rows are laid out in blocks as postings per term; a block of queries scatters
 each of its terms' weighted postings into a dense array of scores, one term
-after the other.  Each block keeps its best rows by partition selection, and
-the blocks' lists are merged.
+after the other.  Postings of most rows are laid out over all rows, zeros
+included, so that they are added in order, and scores have the narrowest type
+that holds every sum.  Each block keeps its best rows by partition selection,
+and the blocks' lists are merged.
 
 Blocks of candidates meet blocks of queries: both have a fixed size, so no
-task holds more than one of each, whatever the tables' sizes.
+task holds more than one of each, whatever the tables' sizes.  All pairs are
+scored: the work grows as queries times candidates.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ CANDIDATES_PER_BLOCK = 16_384
 QUERIES_PER_BLOCK = 4_096
 #: Scores held at a time: queries x candidates, so that they stay in cache.
 QUERIES_AT_ONCE = 16
+#: Postings of one row in so many, or more, are laid out over all rows: adding in order costs less than scattering.
+FULL_FROM = 16
 
 TOP = "qid long, sid long, self_score long, copies long, vec_id long, score long"
 
@@ -45,16 +50,37 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFr
 
 def _weights(column: pa.Array) -> np.ndarray:
     """rows x terms; int64, or Python integers where a weight or a score could leave 63 bits."""
-    rows = [np.floor(r) for r in column.to_numpy(zero_copy_only=False)]
-    width = max(map(len, rows), default=0)
-    dense = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        dense[i, : len(r)] = r
-    if width and np.abs(dense).max(initial=0) ** 2 * width >= 2**62:
+    lengths = column.value_lengths().to_numpy()
+    dense = np.zeros((len(lengths), lengths.max(initial=0)))
+    dense[np.arange(dense.shape[1]) < lengths[:, None]] = np.floor(column.flatten().to_numpy())
+    if dense.size and np.abs(dense).max() ** 2 * dense.shape[1] >= 2**62:
         return np.vectorize(int, otypes=[object])(dense)
     return dense.astype(np.int64)
 
 
+def _score_type(q: np.ndarray, c: np.ndarray) -> type:
+    """The narrowest type for weights, products and sums: no sum of some terms' products exceeds the product of the norms."""
+    if q.dtype == object or c.dtype == object:
+        return object
+    squares = [int(np.einsum("ij,ij->i", x, x).max(initial=0)) for x in (q, c)]
+    bound = max(math.isqrt(squares[0] * squares[1]), *map(math.isqrt, squares)) + 1
+    return next((kind for kind, bits in ((np.int16, 15), (np.int32, 31), (np.int64, 62)) if bound < 2**bits), object)
+
+
+def _best(row: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k highest scores; of equal ones at the end, the earliest."""
+    n = len(row)
+    if n <= k:
+        return np.arange(n)
+    # numpy partitions 32 bits faster than 16.
+    floor = np.partition(row.astype(np.int32) if row.dtype == np.int16 else row, n - k)[n - k]
+    kept = np.flatnonzero(row >= floor)
+    if len(kept) > k:
+        above = row[kept] > floor
+        kept = np.concatenate([kept[above], kept[~above][: k - np.count_nonzero(above)]])
+    return kept
+
+
 def best_of_block(q: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query row: positions of its k best candidate rows and their scores.
 
@@ -62,33 +88,29 @@ def best_of_block(q: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, n
     """
     terms = min(q.shape[1], c.shape[1]) if q.size and c.size else 0
     q, c = q[:, :terms], c[:, :terms]
-    kind: type | str = object
-    if q.dtype != object and c.dtype != object:
-        bound = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * terms
-        kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**62 else object
+    kind = _score_type(q, c)
     q, c = q.astype(kind), c.astype(kind)
     n = len(c)
     postings = []
     for t in range(terms):
         at = np.flatnonzero(c[:, t])
-        postings.append((at if len(at) < n else slice(None), np.ascontiguousarray(c[at, t])))
+        at = slice(None) if len(at) * FULL_FROM >= n else at
+        postings.append((at, np.ascontiguousarray(c[at, t])))
+    held, product = np.empty((2, min(QUERIES_AT_ONCE, len(q)), n), kind)
     for first in range(0, len(q), QUERIES_AT_ONCE):
         part = q[first : first + QUERIES_AT_ONCE]
-        scores = np.zeros((len(part), n), kind)
+        scores, products = held[: len(part)], product[: len(part)]
+        scores[:] = 0
         for t, (at, weights) in enumerate(postings):
             asking = np.flatnonzero(part[:, t])
-            if len(asking) == len(part) and isinstance(at, slice):
-                scores += part[:, t, None] * weights
+            if 2 * len(asking) >= len(part) and isinstance(at, slice):
+                np.multiply(part[:, t, None], weights, out=products)
+                scores += products
             else:
                 for i in asking:
                     scores[i, at] += part[i, t] * weights
         for i, row in enumerate(scores):
-            if n > k:
-                floor = np.partition(row, n - k)[n - k]
-                above = np.flatnonzero(row > floor)
-                kept = np.concatenate([above, np.flatnonzero(row == floor)[: k - len(above)]])
-            else:
-                kept = np.arange(n)
+            kept = _best(row, k)
             yield first + i, kept, row[kept]
 
 
@@ -124,28 +146,26 @@ def top_k(
     left = rows.select(
         (F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks))).cast("int").alias("cb"),
         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
-        F.col("id"), F.col("v"), F.lit(0).cast("long").alias("copies"),
+        F.col("id"), F.col("v"), F.lit(0).cast("long").alias("sid"), F.lit(0).cast("long").alias("copies"),
     )
     right = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"),
         (F.pmod(F.xxhash64("id", "v"), F.lit(q_blocks))).cast("int").alias("qb"),
-        F.col("id"), F.col("v"), F.col("copies"),
+        # Tells apart query rows of one id.
+        F.col("id"), F.col("v"), F.xxhash64("v").alias("sid"), F.col("copies"),
     )
 
     names = [c.split()[0] for c in TOP.split(", ")]
 
     def block(_, c: pa.Table, q: pa.Table) -> pa.Table:
-        parts: list[tuple] = []
+        columns = [np.empty(0, np.int64)] * len(names)
         if len(c) and len(q):
             c = c.sort_by("id")
-            ids = c["id"].to_numpy()
             cw, qw = _weights(c["v"].combine_chunks()), _weights(q["v"].combine_chunks())
-            asked = zip(q["id"].to_pylist(), map(digest, qw), map(self_score, qw), q["copies"].to_pylist(), strict=True)
-            asked = list(asked)
-            for i, at, scores in best_of_block(qw, cw, k + 1):
-                fixed = (np.full(len(at), x, np.int64) for x in asked[i])
-                parts.append((*fixed, ids[at], as_long(scores)))
-        columns = map(np.concatenate, zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * len(names)
+            asked = q["id"].to_numpy(), q["sid"].to_numpy(), self_scores(qw), q["copies"].to_numpy()
+            rows, at, scores = zip(*best_of_block(qw, cw, k + 1), strict=True)
+            of = np.repeat(rows, [len(x) for x in at])
+            columns = [*(x[of] for x in asked), c["id"].to_numpy()[np.concatenate(at)], as_long(np.concatenate(scores))]
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
 
     found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(block, TOP)
@@ -172,13 +192,7 @@ def as_long(scores: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in scores], np.int64)
 
 
-def self_score(row: np.ndarray) -> int:
-    return int(as_long(np.array([sum(int(x) * int(x) for x in row)], object))[0])
-
-
-def digest(row: np.ndarray) -> int:
-    """Tells apart query rows of one id; the same in whichever block, so trailing zeros do not count."""
-    weights = [int(x) for x in row]
-    while weights and not weights[-1]:
-        weights.pop()
-    return int.from_bytes(hashlib.blake2b(repr(weights).encode(), digest_size=8).digest(), "little", signed=True)
+def self_scores(rows: np.ndarray) -> np.ndarray:
+    if rows.dtype != object:
+        return np.einsum("ij,ij->i", rows, rows)
+    return as_long(np.array([sum(x * x for x in row) for row in rows], object))
