@@ -27,7 +27,7 @@ from ..plans.shipping import ship
 from .common import P
 
 CANDIDATES_PER_BLOCK = 16_384
-QUERIES_PER_BLOCK = 4_096
+QUERIES_PER_BLOCK = 16_384
 #: Scores held at a time: queries x candidates, so that they stay in cache.
 QUERIES_AT_ONCE = 16
 #: Postings of one row in so many, or more, are laid out over all rows: adding in order costs less than scattering.
@@ -37,7 +37,7 @@ TOP = "qid long, sid long, self_score long, copies long, vec_id long, score long
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
-    """(id, terms): floor(scale * x) of each component; rows with a null or non-finite component go."""
+    """(id, v): floor(scale * x) of each component; rows with a null or non-finite component go."""
     x = F.col(vector).cast("array<double>")
     return (
         vectors.select(F.col(key).cast("long").alias("id"), x.alias("v"))
@@ -45,14 +45,27 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFr
         .where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
         .select("id", F.transform("v", lambda e: F.lit(float(scale)) * e).alias("v"))
         .where(F.forall("v", lambda e: F.abs(e) < float("inf")))
+        # A double of 2^52 or more is whole, and beyond a long it has no floor.
+        .select("id", F.transform("v", lambda e: F.when(F.abs(e) < 2.0**52, F.floor(e).cast("double")).otherwise(e)).alias("v"))
     )
 
 
-def _weights(column: pa.Array) -> np.ndarray:
+def _packed(rows: DataFrame) -> DataFrame:
+    """Adds narrow, the weights in 16 bits each, or wide, the weights as doubles, where one does not fit; the other is null."""
+    fits = F.coalesce((F.array_max("v") < 2.0**15) & (F.array_min("v") >= -(2.0**15)), F.lit(True))
+    return rows.withColumns({
+        "narrow": F.when(fits, F.col("v").cast("array<smallint>")),
+        "wide": F.when(~fits, F.col("v")),
+    })
+
+
+def _weights(rows: pa.Table) -> np.ndarray:
     """rows x terms; int64, or Python integers where a weight or a score could leave 63 bits."""
-    lengths = column.value_lengths().to_numpy()
-    dense = np.zeros((len(lengths), lengths.max(initial=0)))
-    dense[np.arange(dense.shape[1]) < lengths[:, None]] = np.floor(column.flatten().to_numpy())
+    parts = [rows[x].combine_chunks() for x in ("narrow", "wide")]
+    lengths = [x.value_lengths().fill_null(0).to_numpy() for x in parts]
+    dense = np.zeros((len(rows), max(x.max(initial=0) for x in lengths)))
+    for part, length in zip(parts, lengths, strict=True):
+        dense[np.arange(dense.shape[1]) < length[:, None]] = part.flatten().to_numpy()
     if dense.size and np.abs(dense).max() ** 2 * dense.shape[1] >= 2**62:
         return np.vectorize(int, otypes=[object])(dense)
     return dense.astype(np.int64)
@@ -135,7 +148,7 @@ def top_k(
     spark = vectors.sparkSession
     ship(spark)
     rows = quantised(vectors, key, vector, scale)
-    queries = rows.where(F.col("id") % every == 0).groupBy("id", "v").agg(F.count("*").alias("copies"))
+    queries = _packed(rows.where(F.col("id") % every == 0).groupBy("id", "v").agg(F.count("*").alias("copies")))
     counts = vectors.agg(
         F.count("*").alias("n"), F.count(F.when(F.col(key) % every == 0, 1)).alias("q")
     ).first()
@@ -143,16 +156,16 @@ def top_k(
     c_blocks = max(-(-counts["n"] // CANDIDATES_PER_BLOCK), min(wide, -(-counts["n"] // 2048)), 1)
     q_blocks = max(-(-counts["q"] // QUERIES_PER_BLOCK), 1)
     # Each side is dealt by a hash of the row, once per block of the other side.
-    left = rows.select(
+    left = _packed(rows).select(
         (F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks))).cast("int").alias("cb"),
         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
-        F.col("id"), F.col("v"), F.lit(0).cast("long").alias("sid"), F.lit(0).cast("long").alias("copies"),
+        "id", "narrow", "wide",
     )
     right = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"),
         (F.pmod(F.xxhash64("id", "v"), F.lit(q_blocks))).cast("int").alias("qb"),
         # Tells apart query rows of one id.
-        F.col("id"), F.col("v"), F.xxhash64("v").alias("sid"), F.col("copies"),
+        F.xxhash64("v").alias("sid"), "id", "narrow", "wide", "copies",
     )
 
     names = [c.split()[0] for c in TOP.split(", ")]
@@ -161,7 +174,7 @@ def top_k(
         columns = [np.empty(0, np.int64)] * len(names)
         if len(c) and len(q):
             c = c.sort_by("id")
-            cw, qw = _weights(c["v"].combine_chunks()), _weights(q["v"].combine_chunks())
+            cw, qw = _weights(c), _weights(q)
             asked = q["id"].to_numpy(), q["sid"].to_numpy(), self_scores(qw), q["copies"].to_numpy()
             rows, at, scores = zip(*best_of_block(qw, cw, k + 1), strict=True)
             of = np.repeat(rows, [len(x) for x in at])

@@ -297,6 +297,17 @@ def test_top_k_of_one_id_and_equal_weights(spark):
     assert got == plain_top(vectors, 5)
 
 
+@pytest.mark.parametrize("top", [600.0, 1e6, 1e15])
+def test_top_k_of_wide_and_narrow_weights(spark, top):
+    """Weights on both sides of 16 bits, and beyond 2^52, in one table."""
+    rng = random.Random(13)
+    vectors = [(i, [rng.choice([0.0, -0.01, 0.5, rng.random()]) for _ in range(5)]) for i in range(60)]
+    vectors += [(60, [512.0, 0.5, 0.0, 0.0, 0.0]), (61, [-512.0] * 5), (62, [511.999] * 5), (63, [0.0, top]), (80, [-512.01]), (81, [])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(table).collect())
+    assert got == plain_top(vectors)
+
+
 def test_top_k_scores_in_the_narrowest_type():
     rng = np.random.default_rng(11)
     for top, kind in [(90, np.int16), (91, np.int32), (23170, np.int32), (23171, np.int64), (2**29, np.int64), (2**30, object)]:
